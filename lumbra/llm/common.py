@@ -96,7 +96,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lumbra-{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_forget, spark, path)
     out = spark.read.schema(schema).parquet(path)
     out._lumbra_path = path
