@@ -1 +1,284 @@
-"""To come."""
+"""Line dedup: fuzzy lines by MinHash.
+
+Each distinct line gives a signature of BANDS x ROWS one-permutation MinHash values of its character shingles. Lines that share a band form a bucket;
+equal buckets of several bands count once. Within a bucket the exact Jaccard similarity of the shingle sets decides, and
+a spanning forest of the links goes to distributed union-find (:mod:`components`). Of each component, and of each set of equal
+lines, the first occurrence by (doc_id, line number) stays.
+
+Bands by which too many lines meet are found on a hash sample and dealt out as pairs of blocks, so that no task
+gathers a hot bucket. Texts are moved for lines that meet another one only.
+
+Blank lines are kept and compared with nothing. Lines shorter than a shingle are one shingle. Null texts are one blank line. Rows with the same doc_id count
+as one document; lines of rows with a null doc_id are kept and remove nothing. Lines are known by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bound_batches, chunks, keyed_texts, map_texts, record, written
+from .components import components
+
+SHINGLE, THRESHOLD = 5, 0.8
+BANDS, ROWS = 12, 6
+#: A band key is hot above this many lines, as a sample of 1 in SAMPLED lines tells; it is dealt out in blocks of half as many.
+HOT, SAMPLED = 4096, 16
+_P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+_EMPTY = np.uint64(2**64 - 1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(33))
+    x *= _A
+    x ^= x >> np.uint64(29)
+    x *= _B
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_hashes(lines: list[str], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all lines' shingles, one behind the other, and their number by line."""
+    text = "".join(lines)
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    if not len(cp):
+        return np.zeros(0, np.uint64), np.zeros(len(lines), np.int64)
+    h = np.zeros(len(cp), np.uint64)
+    padded = np.concatenate([cp, np.zeros(size, np.uint64)])
+    for j in range(size):
+        h = h * _P + padded[j : j + len(cp)]
+    counts = np.where(lengths >= size, lengths - size + 1, np.minimum(lengths, 1))
+    starts = np.cumsum(lengths) - lengths
+    ends = np.cumsum(counts)
+    at = np.repeat(starts - (ends - counts), counts) + np.arange(int(ends[-1]))
+    out = h[at]
+    for i in np.flatnonzero((lengths > 0) & (lengths < size)).tolist():  # its own characters alone
+        out[ends[i] - 1] = xxhash.xxh3_64_intdigest(lines[i].encode("utf-8", "surrogatepass"))
+    return _mix(out), counts
+
+
+def signatures(lines: list[str], bins: int = BANDS * ROWS, size: int = SHINGLE) -> np.ndarray:
+    """(lines, bins) one-permutation MinHash; an empty bin takes the next full one's value, told apart by the distance."""
+    h, counts = shingle_hashes(lines, size)
+    sig = np.full(len(lines) * bins, _EMPTY, np.uint64)
+    where = np.repeat(np.arange(len(lines)) * bins, counts) + (h % np.uint64(bins)).astype(np.int64)
+    np.minimum.at(sig, where, h)
+    sig = sig.reshape(len(lines), bins)
+    holes = np.flatnonzero((sig == _EMPTY).any(1) & (counts > 0))
+    if len(holes):
+        own = sig[holes]
+        at = np.where(own == _EMPTY, 4 * bins, np.arange(bins))
+        at = np.concatenate([at, at + bins], 1)
+        nxt = np.minimum.accumulate(at[:, ::-1], 1)[:, ::-1][:, :bins]
+        sig[holes] = np.take_along_axis(own, nxt % bins, 1) + _mix((nxt - np.arange(bins)).astype(np.uint64)) * (nxt != np.arange(bins))
+    return sig
+
+
+def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """(lines, bands) 64-bit keys."""
+    n, bins = sig.shape
+    key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
+    part = sig.reshape(n, bands, bins // bands)
+    for j in range(bins // bands):
+        key = _mix(key * _P + part[:, :, j])
+    return key
+
+
+def line_id(line: str) -> int:
+    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+
+
+def _split(text: str) -> list[str]:
+    return text.split("\n")
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """(h, doc_id, no) of every line; h is null for blank lines."""
+    schema = pa.schema([("h", pa.uint64()), ("doc_id", pa.int64()), ("no", pa.int32())])
+    signed = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("no", pa.int32())])
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(None if not line.strip() else line_id(line), doc, i) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for i, line in enumerate(_split(text))]
+        b = record(schema, *zip(*found, strict=True))
+        return record(signed, b.column("h").view(pa.int64()), b.column("doc_id"), b.column("no"))
+
+    return map_texts(rows, run, "h long, doc_id long, no int")
+
+
+def _distinct_lines(part: pa.RecordBatch) -> dict[int, str]:
+    return {line_id(line): line for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) if doc is not None for line in _split(text) if line.strip()}
+
+
+def bands(rows: DataFrame) -> DataFrame:
+    """(key, h) of every line, once for each batch that holds it."""
+    schema = pa.schema([("key", pa.int64()), ("h", pa.int64())])
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        lines = _distinct_lines(part)
+        if not lines:
+            return None
+        h = np.fromiter(lines, np.uint64, len(lines))
+        keys = band_keys(signatures(list(lines.values())))
+        return record(schema, keys.ravel().view(np.int64), np.repeat(h, BANDS).view(np.int64))
+
+    return map_texts(rows, run, "key long, h long")
+
+
+def line_texts(rows: DataFrame) -> DataFrame:
+    schema = pa.schema([("h", pa.int64()), ("line", pa.string())])
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        lines = _distinct_lines(part)
+        return record(schema, np.fromiter(lines, np.uint64, len(lines)).view(np.int64), list(lines.values())) if lines else None
+
+    return map_texts(rows, run, "h long, line string")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, fields: list[str]) -> Iterator[tuple]:
+    """The complete groups of batches sorted by ``key``, many at a time: (key, *fields) arrays without a group cut in two."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.table(b)
+        t = t if held is None else pa.concat_tables([held, t])
+        k = t.column(key).to_numpy()
+        last = int(np.searchsorted(k, k[-1], "left"))
+        if last:
+            yield tuple(t.slice(0, last).column(c).combine_chunks() for c in (key, *fields))
+        held = t.slice(last)
+    if held is not None:
+        yield tuple(held.column(c).combine_chunks() for c in (key, *fields))
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """(bucket, h): lines that share a band; a bucket's name is made of its members, so equal buckets are one."""
+    found = bands(rows)
+    sampled = found.filter(F.pmod("h", F.lit(SAMPLED)) == 0).groupBy("key").count().filter(F.col("count") > HOT // SAMPLED)
+    hot = written(sampled.select("key", F.ceil(F.col("count") * SAMPLED / (HOT // 2)).cast("int").alias("blocks")), "hot")
+    n = hot.count()
+    dealt = found.withColumn("part", F.lit(0))
+    if n:  # a row for each HOT lines at most; beyond a safe size the join is a shuffle that splits hot keys
+        block = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+        pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.least(x, block) * 65536 + F.greatest(x, block)).cast("int")))
+        dealt = found.join(F.broadcast(hot) if n < 100_000 else hot, "key", "left").select("key", "h", F.explode(pairs).alias("part"))
+    dealt = dealt.select(F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "h")
+    schema = pa.schema([("bucket", pa.int64()), ("h", pa.int64())])
+
+    def run(batches):
+        seen: set[int] = set()
+        for key, h in _groups(batches, "key", ["h"]):
+            key, h = key.to_numpy(), h.to_numpy()
+            order = np.lexsort((h, key))
+            key, h = key[order], h[order]
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])  # a line comes once from each batch that holds it
+            key, h = key[once], h[once]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(first, len(key)))
+            name = np.add.reduceat(_mix(h.view(np.uint64)), first) + size.astype(np.uint64)
+            many = size > 1
+            new = np.array([many[i] and x not in seen for i, x in enumerate(name.tolist())], bool) if many.any() else many
+            if len(seen) < 200_000:
+                seen.update(name[many].tolist())
+            _, at = np.unique(name, return_index=True)
+            new &= np.isin(np.arange(len(name)), at)
+            take = np.repeat(new, size)
+            if take.any():
+                yield record(schema, np.repeat(name, size)[take].view(np.int64), h[take])
+
+    bound_batches(rows.sparkSession, rows=50_000)
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, h long").distinct()
+
+
+def forest(lines: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """Edges between indices of a spanning forest of all links by exact Jaccard similarity: every line is compared with all that its tree has not reached yet."""
+    h, counts = shingle_hashes(lines)
+    ends = np.cumsum(counts)
+    sets = [np.unique(h[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+    sizes = np.array([len(s) for s in sets])
+    left = np.arange(len(lines))
+    edges = []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            i = front.pop()
+            near = left[(np.minimum(sizes[left], sizes[i]) >= threshold * np.maximum(sizes[left], sizes[i]))]
+            if not len(near):
+                continue
+            own = np.concatenate([sets[j] for j in near.tolist()])
+            at = np.minimum(np.searchsorted(sets[i], own), len(sets[i]) - 1)
+            both = np.add.reduceat((sets[i][at] == own).astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+            hit = near[both >= threshold * (sizes[i] + sizes[near] - both) - 1e-9]
+            edges += [(i, j) for j in hit.tolist()]
+            front += hit.tolist()
+            left = left[~np.isin(left, hit)]
+    return edges
+
+
+def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): line ids that connect all lines found similar."""
+    members = written(buckets(rows), "buckets")
+    wanted = members.select("h").distinct()
+    texts = line_texts(rows).join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for bucket, h, line in _groups(batches, "bucket", ["h", "line"]):
+            key, ids, line = bucket.to_numpy(), h.to_pylist(), line.to_pylist()
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            found = []
+            for s, e in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                found += [(ids[s + i], ids[s + j]) for i, j in forest(line[s:e], threshold)]
+            if found:
+                yield record(schema, *zip(*found, strict=True))
+
+    joined = members.join(texts, "h")
+    bound_batches(rows.sparkSession, rows=2000, size=8 << 20)
+    return joined.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
+def removed(docs: DataFrame, threshold: float = THRESHOLD, **columns: str) -> DataFrame:
+    """(doc_id, no, gone) of every line: gone if an earlier one of its component stays in its place."""
+    rows = keyed_texts(docs, **columns)
+    found = components(written(links(rows, threshold), "links"))
+    every = written(occurrences(rows), "lines")
+    firsts = every.filter("h is not null and doc_id is not null").groupBy("h").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    classed = firsts.join(found, F.col("h") == F.col("node"), "left").select("h", "first", "n", F.coalesce("component", "h").alias("class"), F.col("component").isNotNull().alias("near"))
+    alone = classed.filter("not near and n > 1").select("h", "first")
+    near = written(classed.filter("near").select("h", "first", "class"), "near")
+    kept = near.groupBy("class").agg(F.min("first").alias("kept"))
+    stays = alone.unionByName(near.join(kept, "class").select("h", F.col("kept").alias("first")))
+    return every.join(stays, "h", "left").select("doc_id", "no", F.coalesce(F.col("doc_id").isNotNull() & (F.struct("doc_id", "no") != F.col("first")), F.lit(False)).alias("gone"))
+
+
+def report(docs: DataFrame, **options) -> DataFrame:
+    """A row for each document: its lines, how many of them are removed, and their numbers from 0."""
+    gone = F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("no"))))
+    return removed(docs, **options).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_removed"), gone.alias("removed_lines"))
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the removed lines; all rows and columns stay, and a text may become empty."""
+    columns = docs.columns
+    cut = removed(docs, id_col=id_col, text_col=text_col, **options).filter("gone").groupBy("doc_id").agg(F.collect_list("no").alias("__gone")).withColumnRenamed("doc_id", "__id")
+    joined = docs.join(cut, F.col(id_col) == F.col("__id"), "left").select(*columns, "__gone")
+    bound_batches(docs.sparkSession)
+
+    def run(batches):
+        for whole in batches:
+            for b in chunks([whole], text_col):
+                texts = []
+                for text, gone in zip(b.column(text_col).to_pylist(), b.column("__gone").to_pylist(), strict=True):
+                    if text is not None and gone:
+                        out = set(gone)
+                        text = "\n".join(x for i, x in enumerate(_split(text)) if i not in out)
+                    texts.append(text)
+                yield b.drop_columns(["__gone"]).set_column(columns.index(text_col), text_col, pa.array(texts, pa.string()))
+
+    return joined.mapInArrow(run, docs.schema)

@@ -1 +1,133 @@
-"""To come."""
+"""Substring dedup by sliding sentence spans.
+
+A text is split into sentences; one of more than LONG words is cut after words whose own hash says so, so that cuts do not depend on where
+a passage lies. From each sentence starts a run of at least RUN consecutive sentences and WORDS words; its 96-bit hash is joined
+globally. Of each repeated run the first by (doc_id, offset) stays, and all sentences covered by any other are
+removed. First runs come from a pre-aggregated group; no group is gathered in a task.
+
+Sentences are compared as their words, without case. Null and empty texts have no runs. Rows with the same doc_id count as one document,
+which is its own first; rows with a null doc_id are left alone. Offsets are code points.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import bound_batches, chunks, keyed_texts, map_texts, record
+
+RUN, WORDS, LONG = 3, 12, 12
+SENTENCE = re.compile(r"[^.!?\n]*+[.!?\n]*+")
+WORD = re.compile(r"\S+")
+#: Sentences over this many words are also cut where no word's hash says so.
+LONGEST = 48
+
+
+def sentences(text: str) -> list[tuple[int, int, list[str]]]:
+    """(start, end, words) of each sentence that has words."""
+    out = []
+    for m in SENTENCE.finditer(text):
+        words = m.group().lower().split()
+        if not words:
+            continue
+        if len(words) <= LONG:
+            out.append((m.start(), m.end(), words))
+            continue
+        start, own = m.start(), []
+        for w in WORD.finditer(text, m.start(), m.end()):
+            own.append(w.group().lower())
+            if xxhash.xxh32_intdigest(own[-1]) % 5 == 0 and len(own) > 2 or len(own) >= LONGEST:
+                out.append((start, w.end(), own))
+                start, own = w.end(), []
+        if own:
+            out.append((start, m.end(), own))
+        elif out:
+            out[-1] = (out[-1][0], m.end(), out[-1][2])
+    return out
+
+
+def runs(text: str, run: int = RUN, words: int = WORDS) -> Iterator[tuple[int, int, int, int]]:
+    """(64-bit hash, 32-bit hash, start, end) of the shortest sufficient run from each sentence."""
+    parts = sentences(text)
+    keys = [" ".join(w) for _, _, w in parts]
+    sizes = [len(w) for _, _, w in parts]
+    for i in range(len(parts) - run + 1):
+        j, n = i + run, sum(sizes[i : i + run])
+        while n < words and j < len(parts):
+            n += sizes[j]
+            j += 1
+        if n < words:
+            return
+        key = "\n".join(keys[i:j]).encode("utf-8", "surrogatepass")
+        yield xxhash.xxh3_64_intdigest(key), xxhash.xxh32_intdigest(key), parts[i][0], parts[j - 1][1]
+
+
+def repeated(docs: DataFrame, run: int = RUN, words: int = WORDS, **columns: str) -> DataFrame:
+    """(doc_id, start, end, first_doc): every repeated run but the first, and the document that keeps it."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def find(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(h, g, doc, s, e) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) if doc is not None for h, g, s, e in runs(text, run, words)]
+        if not rows:
+            return record(schema, [], [], [], [], [])
+        h, g, doc, s, e = zip(*rows, strict=True)
+        return record(schema, np.array(h, np.uint64).view(np.int64), np.array(g, np.uint32).view(np.int32), doc, s, e)
+
+    rows = map_texts(keyed_texts(docs, **columns), find, "h long, g int, doc_id long, start int, end int")
+    first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g", "first")
+    return rows.join(first, ["h", "g"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc"))
+
+
+def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for s, e in sorted((x["start"], x["end"]) for x in spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
+REMOVED = "doc_id long, removed_spans string, n_spans int, removed_chars long, kept_in array<long>"
+
+
+def report(docs: DataFrame, **options) -> DataFrame:
+    """A row for each document that loses sentences: the removed spans (start:end, comma-joined), their number and length, and the documents that keep what is removed."""
+    schema = pa.schema([("doc_id", pa.int64()), ("removed_spans", pa.string()), ("n_spans", pa.int32()), ("removed_chars", pa.int64()), ("kept_in", pa.list_(pa.int64()))])
+    spans = repeated(docs, **options).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"), F.sort_array(F.collect_set("first_doc")).alias("kept_in"))
+
+    def merge(batches):
+        for b in batches:
+            found = [_merged(x) for x in b.column("spans").to_pylist()]
+            yield record(schema, b.column("doc_id"), [",".join(f"{s}:{e}" for s, e in x) for x in found], [len(x) for x in found], [sum(e - s for s, e in x) for x in found], b.column("kept_in"))
+
+    return spans.mapInArrow(merge, REMOVED)
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the repeated sentences cut out of the text; all rows and columns stay."""
+    columns = docs.columns
+    spans = report(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__id"), F.col("removed_spans").alias("__spans"))
+    schema = docs.schema
+    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left").select(*columns, "__spans")
+    bound_batches(docs.sparkSession)
+
+    def cut(batches):
+        for whole in batches:
+            for b in chunks([whole], text_col):
+                texts = []
+                for text, cuts in zip(b.column(text_col).to_pylist(), b.column("__spans").to_pylist(), strict=True):
+                    if text is not None and cuts:
+                        for s, e in reversed([tuple(map(int, x.split(":"))) for x in cuts.split(",")]):
+                            text = text[:s] + text[e:]
+                    texts.append(text)
+                i = columns.index(text_col)
+                yield b.drop_columns(["__spans"]).set_column(i, text_col, pa.array(texts, pa.string()))
+
+    return joined.mapInArrow(cut, schema)
