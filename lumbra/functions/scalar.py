@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from .. import constants as K
 
@@ -73,7 +74,7 @@ def display(tema: Column, subtema: Column) -> Column:
     return F.concat_ws(" | ", tema, subtema)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text(s: pd.Series) -> pd.Series:
     """Lower case without accents and punctuation but for |, white space collapsed; null is empty."""
     base = s.fillna("").str.strip().str.lower().map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
@@ -91,7 +92,7 @@ def specialty(normalized: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fuzzy_synonym(s: pd.Series) -> pd.Series:
     """The expansion of the term most alike by matching blocks, from FUZZY on; the first of equals; else null."""
     table = {**K.ABBREVIATIONS, **{k: v for k, v in K.ALIASES.items() if k not in K.ABBREVIATIONS}}
@@ -113,13 +114,13 @@ def fuzzy_synonym(s: pd.Series) -> pd.Series:
     return s.map(known)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def text_confidence(a: pd.Series, b: pd.Series) -> pd.Series:
     """Likeness by matching blocks plus 0.1, at most 1; 0 where either is empty."""
     return pd.Series([min(1.0, SequenceMatcher(None, x.lower(), y.lower()).ratio() + 0.1) if x and y else 0.0 for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def percent_text(score: pd.Series) -> pd.Series:
     """Whole percent, halves to even on the binary value."""
     return score.map(lambda x: None if x is None or pd.isna(x) else f"{x:.0%}")

@@ -19,6 +19,7 @@ from ..schema import REPLY
 from .lookups import best_stats, exact_stats
 from .reconcile import RESULT, Base, _counts, _total
 from .search import search_topics
+from .stage import staged
 
 Judge = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 CANDIDATES, PROMPTED, ITEMS = 15, 12, 5
@@ -41,7 +42,7 @@ def alternative_candidates(rows: DataFrame, base: Base) -> DataFrame:
     near = tries.join(search_topics(tries, base.stats, base.encoder, 7, base.analyzer), "text").select("row_idx", (F.col("ord") * 100 + F.col("rank")).alias("ord"), "stat")
     words = rows.select("row_idx", F.posexplode(F.array("in_tema", sub, "input_equivalencia")).alias("ord", "text")).filter("text is not null and text <> ''")
     text = words.join(best_stats(words, base.stats, base.analyzer, "text"), F.col("text") == F.col("query_text")).select("row_idx", (F.col("ord") + 1000).alias("ord"), "stat")
-    first = _distinct(near.unionByName(text))
+    first = staged(_distinct(near.unionByName(text)))
     four = first.filter("place <= 4").select("row_idx", F.col("stat.tema").alias("t"), (F.col("place") * 100 + 2000).alias("o"))
     current = rows.filter(F.lower("normalized_tema") != F.lower("in_tema")).select("row_idx", F.col("normalized_tema").alias("t"), F.lit(3000).alias("o"))
     w = Window.partitionBy(F.lower("tema")).orderBy(F.desc("num_questions"), "id")
@@ -82,15 +83,17 @@ def verdicts(asked: DataFrame, judge: Judge) -> DataFrame:
 
 def apply_judge(done: DataFrame, base: Base, judge: Judge, threshold: float = K.JUDGE_THRESHOLD) -> DataFrame:
     """``done`` with reviewed rows: confirmed, replaced by a suggestion that exists at the input's level, or rejected; others as they were."""
+    done = staged(done)
     rows = weak_rows(done, threshold)
-    said = verdicts(prompts(rows, alternative_candidates(rows, base)), judge)
+    said = staged(verdicts(prompts(rows, alternative_candidates(rows, base)), judge))
     both = rows.join(said, "row_idx").filter("v is not null").withColumns({"suggested": F.nullif(clean_suggestion(F.col("v.suggested_match")), F.lit("")), "confidence": F.coalesce("v.confidence", F.lit(0.0)), "why": F.coalesce("v.reasoning", F.lit(""))})
     label = lambda s: match_label(F.lit(K.LLM), s)
 
+    both = staged(both)
     yes = both.filter("v.is_equivalent")
     own = exact_stats(yes.select("row_idx", F.col("normalized_tema").alias("tema"), F.col("normalized_subtema").alias("subtema")), base.stats).select("row_idx", F.col("stat").alias("found"))
     yes = yes.join(own, "row_idx").withColumns({"t": F.col("normalized_tema"), "s": F.coalesce("found.subtema", "normalized_subtema"), "new": F.greatest("confidence", "match_score")})
-    yes = _counts(yes, "t", "s", base).withColumn("q", F.when(F.size("qbi") > 0, F.col("qbi")).otherwise(F.col("questions_by_institution")))
+    yes = _counts(staged(yes), "t", "s", base).withColumn("q", F.when(F.size("qbi") > 0, F.col("qbi")).otherwise(F.col("questions_by_institution")))
     confirmed = yes.select(
         "row_idx", "input_tema", F.coalesce("input_equivalencia", display(F.col("t"), F.col("s"))).alias("input_equivalencia"), F.col("t").alias("normalized_tema"), F.col("s").alias("normalized_subtema"), F.col("q").alias("questions_by_institution"),
         F.lit(K.LLM).alias("match_method"), F.col("new").alias("match_score"), label(F.col("new")).alias("match_label"), F.when(_total(F.col("q")) > 0, color_hex(_total(F.col("q")))).otherwise(F.col("cor_hex")).alias("cor_hex"),
@@ -101,11 +104,11 @@ def apply_judge(done: DataFrame, base: Base, judge: Judge, threshold: float = K.
     other = no.filter("suggested is not null")
     parts = F.split("suggested", r" \| ", 2)
     keyed = other.select("row_idx", "suggested", F.trim(F.get(parts, F.lit(0))).alias("tema"), F.trim(F.get(parts, F.lit(1))).alias("subtema"))
-    exact = exact_stats(keyed, base.stats).select("row_idx", "suggested", "subtema", "stat")
+    exact = staged(exact_stats(keyed, base.stats).select("row_idx", "suggested", "subtema", "stat"))
     text = best_stats(exact.filter("subtema is null and stat is null"), base.stats, base.analyzer, "suggested").select(F.col("query_text").alias("suggested"), F.col("stat").alias("by_text"))
     named = exact.join(text, "suggested", "left").select("row_idx", F.coalesce("stat", F.when(F.col("subtema").isNull(), F.col("by_text"))).alias("found"))
     other = other.join(named.filter("found is not null"), "row_idx").filter("in_subtema = '' or found.subtema is not null").withColumns({"t": F.col("found.tema"), "s": F.col("found.subtema")})
-    other = _counts(other, "t", "s", base)
+    other = _counts(staged(other), "t", "s", base)
     replaced = other.select(
         "row_idx", "input_tema", display(F.col("t"), F.col("s")).alias("input_equivalencia"), F.col("t").alias("normalized_tema"), F.col("s").alias("normalized_subtema"), F.col("qbi").alias("questions_by_institution"),
         F.lit(K.LLM).alias("match_method"), F.col("confidence").alias("match_score"), label(F.col("confidence")).alias("match_label"), color_hex(_total(F.col("qbi"))).alias("cor_hex"),

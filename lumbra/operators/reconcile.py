@@ -17,6 +17,7 @@ from ..functions.vectors import vector_search
 from .lookups import exact_stats, institution_counts, subtemas_of
 from .resolve import resolve_subtema, resolve_tema, retry
 from .search import Encoder, retrieve
+from .stage import staged
 
 RESULT = ("row_idx", "input_tema", "input_equivalencia", "normalized_tema", "normalized_subtema", "questions_by_institution", "match_method", "match_score", "match_label", "cor_hex", "notes")
 
@@ -42,7 +43,7 @@ def prepare(sheet: DataFrame) -> DataFrame:
 def with_candidates(rows: DataFrame, base: Base) -> DataFrame:
     """``rows`` with the best retrieved question's tema, subtema and similarity, and the number of retrieved questions."""
     texts = rows.select(F.col("query").alias("text")).filter("text <> ''").distinct()
-    asked = texts.join(base.encoder(texts), "text").select(F.col("text").alias("query_id"), F.col("text").alias("query_text"), "embedding")
+    asked = staged(texts.join(base.encoder(texts), "text").select(F.col("text").alias("query_id"), F.col("text").alias("query_text"), "embedding"))
     corpus = base.questions.select("id", F.concat_ws(" ", "tema_normalized", "subtema_normalized", "raw_text").alias("text"), "embedding")
     hits = retrieve(corpus, asked, analyzer=base.analyzer)
     named = hits.join(base.questions.select("id", "tema_normalized", "subtema_normalized"), "id")
@@ -66,7 +67,7 @@ def _total(m: Column) -> Column:
 
 def reconcile_rows(sheet: DataFrame, base: Base) -> DataFrame:
     """The first pass; one row for each input row."""
-    rows = with_candidates(prepare(sheet), base)
+    rows = staged(with_candidates(staged(prepare(sheet)), base))
     rows = resolve_tema(rows, base.stats, base.encoder, base.analyzer)
     below = resolve_subtema(rows, base.stats, base.encoder, base.analyzer).select("row_idx", F.col("stat").alias("sub"), F.col("method").alias("sub_method"), F.col("score").alias("sub_score"))
     level = exact_stats(rows.filter("subtema_raw is null and tema is not null").select("row_idx", "tema", F.lit(None).cast("string").alias("subtema")), base.stats).select("row_idx", F.col("stat").alias("own"))
@@ -81,7 +82,7 @@ def reconcile_rows(sheet: DataFrame, base: Base) -> DataFrame:
         "final_tema": F.coalesce("tema", "norm_tema"),
     })
     rows = rows.withColumns({"count_tema": F.col("tema"), "count_subtema": F.col("stat.subtema")})
-    rows = _counts(rows, "count_tema", "count_subtema", base)
+    rows = staged(_counts(staged(rows), "count_tema", "count_subtema", base))
     names = subtemas_of(base.stats)
     rows = rows.join(names, F.lower("final_tema") == F.col("tema_lc"), "left")
     stat = F.col("stat").isNotNull()
@@ -107,9 +108,10 @@ def reconcile_rows(sheet: DataFrame, base: Base) -> DataFrame:
 
 def retry_rows(done: DataFrame, sheet: DataFrame, base: Base) -> DataFrame:
     """``done`` with rows below a good score replaced where a second attempt is strictly better."""
+    done = staged(done)
     weak = done.filter(F.col("match_score") < K.GOOD_SCORE).select("row_idx", F.col("match_score").alias("old_score"), F.col("normalized_subtema").alias("old_subtema"))
     again = retry(prepare(sheet).join(weak, "row_idx"), base.stats, base.encoder, base.analyzer)
-    again = _counts(again.withColumns({"t": F.col("stat.tema"), "s": F.col("stat.subtema")}), "t", "s", base)
+    again = _counts(staged(again).withColumns({"t": F.col("stat.tema"), "s": F.col("stat.subtema")}), "t", "s", base)
     better = again.join(prepare(sheet).select("row_idx", "tema_raw", "subtema_raw", "equivalencia"), "row_idx").join(weak.select("row_idx", "old_subtema"), "row_idx")
     new = better.select(
         "row_idx", display(F.col("tema_raw"), F.col("subtema_raw")).alias("input_tema"), F.col("equivalencia").alias("input_equivalencia"), F.col("t").alias("normalized_tema"), F.coalesce("s", "old_subtema").alias("normalized_subtema"),
@@ -134,12 +136,13 @@ def best_inputs(done: DataFrame) -> DataFrame:
 
 def reverse_coverage(done: DataFrame, topics: DataFrame, encoder: Encoder, covered: float = K.COVERED, partial: float = K.PARTIAL) -> DataFrame:
     """A row for each topic of the roll-up: by which input it is covered, exactly or by the most similar text. Without inputs there are no rows."""
+    done = staged(done)
     if done.isEmpty():
         topics = topics.limit(0)
     status = lambda s: F.when(s >= covered, "coberto").when(s >= partial, "parcial").otherwise("não coberto")
     best = best_inputs(done)
     on = (F.lower("tema") == F.col("tema_lc")) & F.nullif(F.lower("subtema"), F.lit("")).eqNullSafe(F.col("subtema_lc"))
-    both = topics.join(best, on, "left").drop("tema_lc", "subtema_lc")
+    both = staged(topics.join(best, on, "left").drop("tema_lc", "subtema_lc"))
     good = F.coalesce(F.col("best.match_score") >= partial, F.lit(False))
     db = (F.col("tema").alias("db_tema"), F.col("subtema").alias("db_subtema"), F.col("num_questions").alias("db_num_questions"), F.col("cor_hex").alias("db_cor_hex"))
     score = F.col("best.match_score")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions.fulltext import fulltext_search
 from ..functions.vectors import vector_search
+from .stage import staged
 
 #: Texts (a column ``text``) to (text, embedding).
 Encoder = Callable[[DataFrame], DataFrame]
@@ -51,7 +52,7 @@ def search_topics(texts: DataFrame, stats: DataFrame, encoder: Encoder, k: int,
     as a branch hands on, then stand for each topic found."""
     n = OVERFETCH * k
     asked = texts.select("text").filter("text is not null and text <> ''").distinct()
-    queries = asked.join(encoder(asked), "text").select(F.col("text").alias("query_id"), F.col("text").alias("query_text"), "embedding")
+    queries = staged(asked.join(encoder(asked), "text").select(F.col("text").alias("query_id"), F.col("text").alias("query_text"), "embedding"))
     topics = stats.groupBy("tema", "subtema").agg(F.min_by("embedding", "id").alias("embedding")).select(F.concat_ws(chr(31), "tema", "subtema").alias("topic"), F.concat_ws(" ", "tema", "subtema").alias("text"), "embedding")
     rank = Window.partitionBy("topic").orderBy("stat.id")
     rows = stats.select(F.concat_ws(chr(31), "tema", "subtema").alias("topic"), F.struct("id", "institution", "ranking", "tema", "subtema", "num_questions", "cor_hex").alias("stat"))
@@ -60,4 +61,4 @@ def search_topics(texts: DataFrame, stats: DataFrame, encoder: Encoder, k: int,
     near = expand(vector_search(topics.select("topic", "embedding"), queries, n, "topic"), "similarity")
     words = expand(fulltext_search(topics, queries, analyzer, "topic", "text"), "fts_score")
     hits = merge_branches(near, words, k, alpha, beta, "query_id")
-    return hits.join(rows.select(F.col("stat.id").alias("id"), "stat"), "id").select(F.col("query_id").alias("text"), "rank", "hybrid_score", "stat")
+    return staged(hits.join(rows.select(F.col("stat.id").alias("id"), "stat"), "id").select(F.col("query_id").alias("text"), "rank", "hybrid_score", "stat"))

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from ..functions.scalar import color
 from ..operators.reconcile import Base
 from ..operators.search import Encoder
+from ..operators.stage import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +37,9 @@ def stats(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
     share = F.col("num_questions") * 100.0 / F.sum("num_questions").over(Window.partitionBy("institution", "category", level))
     rows = rows.withColumns({"ranking": F.row_number().over(rank), "percentage": share, "c": color(F.col("num_questions"))}).select("*", "c.cor", "c.cor_hex").drop("c")
     if vectors:
-        rows = rows.withColumn("__t", F.concat_ws(" ", "tema", "subtema"))
+        rows = staged(rows.withColumn("__t", F.concat_ws(" ", "tema", "subtema")))
         v = encoder(spark, sf_dir)(rows.select(F.col("__t").alias("text")).distinct()).select(F.col("text").alias("__t"), "embedding")
-        rows = rows.join(v, "__t").drop("__t")
+        rows = staged(rows.join(v, "__t").drop("__t"))
     return rows
 
 

@@ -220,7 +220,8 @@ def counts_fallback_cascade(spark: SparkSession, d: str) -> DataFrame:
 _FIRST_WORD = f"(SELECT item_id, {TOKENS('text')}[1] AS word FROM benchmark)"
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9)"
 _NEAR = lambda k: f"near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS similarity FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings c QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, c.vec_id) <= {k})"
-_WORDS = lambda k: f"words AS (SELECT item_id AS query_id, doc_id AS id, count(*) * 0.1::DOUBLE AS fts_score FROM {_FIRST_WORD} w JOIN (SELECT doc_id, unnest({TOKENS('text')}) AS tok FROM documents) t ON tok = word GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) <= {k})"
+_NEAR_DOCS = lambda k: _NEAR(k).replace("CROSS JOIN embeddings c", "CROSS JOIN (SELECT e.* FROM embeddings e JOIN documents ON doc_id = vec_id) c")
+_WORDS = lambda k: f"words AS (SELECT item_id AS query_id, doc_id AS id, count(*) * 0.1::DOUBLE AS fts_score FROM {_FIRST_WORD} w JOIN (SELECT doc_id, unnest({TOKENS('text')}) AS tok FROM documents) t ON tok = word GROUP BY item_id, doc_id QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) <= {k})"
 _HYBRID = "hybrid AS (SELECT query_id, id, coalesce(similarity, 0) AS similarity, coalesce(fts_score, 0) AS fts_score, 0.7::DOUBLE * coalesce(similarity, 0) + 0.3::DOUBLE * coalesce(fts_score, 0) AS hybrid_score FROM near FULL OUTER JOIN words USING (query_id, id))"
 
 
@@ -253,12 +254,12 @@ def _hybrid(spark: SparkSession, d: str, k: int) -> DataFrame:
     return search.hybrid_search(docs, _asked(spark, d), k)
 
 
-@query(f"WITH {_NEAR(15)}, {_WORDS(15)}, {_HYBRID} SELECT query_id, id, round(similarity, 6) AS similarity, round(fts_score, 6) AS fts_score, round(hybrid_score, 6) AS hybrid_score FROM hybrid QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, id) <= 5")
+@query(f"WITH {_NEAR_DOCS(15)}, {_WORDS(15)}, {_HYBRID} SELECT query_id, id, round(similarity, 6) AS similarity, round(fts_score, 6) AS fts_score, round(hybrid_score, 6) AS hybrid_score FROM hybrid QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, id) <= 5")
 def hybrid_full_outer(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d, 5).select("query_id", "id", *[F.round(c, 6).alias(c) for c in ("similarity", "fts_score", "hybrid_score")])
 
 
-@query(f"WITH {_NEAR(30)}, {_WORDS(30)}, {_HYBRID}, k AS (SELECT * FROM hybrid QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, id) <= 10) SELECT query_id, id, round(hybrid_score, 6) AS hybrid_score FROM k WHERE hybrid_score >= 0.5")
+@query(f"WITH {_NEAR_DOCS(30)}, {_WORDS(30)}, {_HYBRID}, k AS (SELECT * FROM hybrid QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, id) <= 10) SELECT query_id, id, round(hybrid_score, 6) AS hybrid_score FROM k WHERE hybrid_score >= 0.5")
 def hybrid_threshold(spark: SparkSession, d: str) -> DataFrame:
     docs = analog.questions(spark, d).select("id", F.col("raw_text").alias("text"), "embedding")
     return search.retrieve(docs, _asked(spark, d)).select("query_id", "id", F.round("hybrid_score", 6).alias("hybrid_score"))
@@ -491,11 +492,11 @@ _LINE = "CASE l_linenumber WHEN 1 THEN 'Ranking por área' WHEN 3 THEN 'Temas' W
 
 
 def _stat_lines(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.lit(0).alias("page"), F.col("l_linenumber").alias("line_no"), F.expr(_LINE.replace("VARCHAR", "STRING")).alias("line"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("file"), F.lit(0).alias("page"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("line_no"), F.expr(_LINE.replace("VARCHAR", "STRING")).alias("line"))
 
 
 _HEAD = "CASE WHEN contains(lower(line), 'área') OR contains(lower(line), 'area') THEN 'area' WHEN contains(lower(line), 'subtema') THEN 'subtema' WHEN contains(lower(line), 'tema') THEN 'tema' END"
-_LINES = f"lines AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, l_linenumber AS line_no, {_LINE} AS line FROM lineitem), marked AS (SELECT *, {_HEAD} AS head FROM lines), filled AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no), 'area') AS section FROM marked)"
+_LINES = f"lines AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, l_linenumber * 10000000 + l_partkey AS line_no, {_LINE} AS line FROM lineitem), marked AS (SELECT *, {_HEAD} AS head FROM lines), filled AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no), 'area') AS section FROM marked)"
 
 
 @query(f"WITH {_LINES} SELECT file, line_no, section FROM filled WHERE head IS NULL")
