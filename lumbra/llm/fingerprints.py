@@ -134,8 +134,11 @@ def with_next(docs: DataFrame, **columns: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.col("doc_id").cast("double").alias("x")).na.drop().approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
     splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    cut = Bucketizer(splits=splits, inputCol="__x", outputCol="__b", handleInvalid="keep")
-    rows = cut.transform(rows.withColumn("__x", F.col("doc_id").cast("double"))).withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("__b").cast("int"))).drop("__x", "__b")
+    if len(splits) > 2:
+        cut = Bucketizer(splits=splits, inputCol="__x", outputCol="__b", handleInvalid="keep")
+        rows = cut.transform(rows.withColumn("__x", F.col("doc_id").cast("double"))).withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(F.col("__b").cast("int"))).drop("__x", "__b")
+    else:
+        rows = rows.withColumn("bucket", F.lit(0))
     tops = rows.groupBy("bucket").agg(F.max("doc_id").alias("top")).orderBy("bucket").collect()  # a row for each partition
     to = [(tops[i - 1][1], tops[i][0]) for i in range(len(tops))]
     guests = rows.drop("bucket").join(F.broadcast(spark.createDataFrame(to, "top long, bucket int")), F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("bucket").agg(F.max("text").alias("text"))

@@ -137,6 +137,7 @@ def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed."""
     bits = bits_of(sample) if len(sample) else np.zeros((1, BITS), np.uint8)
+    n = max(n, 1000)  # with next to no rows the fewest signatures are the cheapest
     found = None
     for m in range(2, radius + 2):
         groups = group_bits(bits, m)
