@@ -114,12 +114,12 @@ def _distinct_lines(part: pa.RecordBatch) -> dict[int, str]:
     return {line_id(line): line for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) if doc is not None for line in _split(text) if line.strip()}
 
 
-def bands(rows: DataFrame) -> DataFrame:
-    """(key, h) of every line, once for each batch that holds it."""
+def bands(rows: DataFrame, one_in: int = 1) -> DataFrame:
+    """(key, h) of every line, once for each batch that holds it; ``one_in``: of a sample of lines by hash."""
     schema = pa.schema([("key", pa.int64()), ("h", pa.int64())])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        lines = _distinct_lines(part)
+        lines = {h: line for h, line in _distinct_lines(part).items() if h % one_in == 0}
         if not lines:
             return None
         h = np.fromiter(lines, np.uint64, len(lines))
@@ -159,7 +159,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, fields: list[str]) -> I
 def buckets(rows: DataFrame) -> DataFrame:
     """(bucket, h): lines that share a band; a bucket's name is made of its members, so equal buckets are one."""
     found = bands(rows)
-    sampled = found.filter(F.pmod("h", F.lit(SAMPLED)) == 0).groupBy("key").count().filter(F.col("count") > HOT // SAMPLED)
+    sampled = bands(rows, SAMPLED).groupBy("key").count().filter(F.col("count") > HOT // SAMPLED)
     hot = written(sampled.select("key", F.ceil(F.col("count") * SAMPLED / (HOT // 2)).cast("int").alias("blocks")), "hot")
     n = hot.count()
     dealt = found.withColumn("part", F.lit(0))
@@ -198,11 +198,33 @@ def buckets(rows: DataFrame) -> DataFrame:
 
 def forest(lines: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """Edges between indices of a spanning forest of all links by exact Jaccard similarity: every line is compared with all that its tree has not reached yet."""
+    return _forest(shingle_sets(lines), threshold)
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     h, counts = shingle_hashes(lines)
-    ends = np.cumsum(counts)
-    sets = [np.unique(h[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+    ends = np.cumsum(counts).tolist()
+    out = []
+    for e, c in zip(ends, counts.tolist(), strict=True):
+        own = np.sort(h[e - c : e])
+        new = np.empty(c, bool)
+        new[:1] = True
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        out.append(own[new])
+    return out
+
+
+def _forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    if len(sets) == 2:
+        a, b = sets
+        n = len(a) + len(b)
+        if min(len(a), len(b)) < threshold * max(len(a), len(b)):
+            return []
+        both = np.sort(np.concatenate(sets))
+        k = int(np.count_nonzero(both[1:] == both[:-1]))
+        return [(0, 1)] if k >= threshold * (n - k) - 1e-9 else []
     sizes = np.array([len(s) for s in sets])
-    left = np.arange(len(lines))
+    left = np.arange(len(sets))
     edges = []
     while len(left):
         front, left = [int(left[0])], left[1:]
@@ -232,9 +254,10 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for bucket, h, line in _groups(batches, "bucket", ["h", "line"]):
             key, ids, line = bucket.to_numpy(), h.to_pylist(), line.to_pylist()
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sets = shingle_sets(line)
             found = []
             for s, e in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
-                found += [(ids[s + i], ids[s + j]) for i, j in forest(line[s:e], threshold)]
+                found += [(ids[s + i], ids[s + j]) for i, j in _forest(sets[s:e], threshold)]
             if found:
                 yield record(schema, *zip(*found, strict=True))
 

@@ -257,7 +257,7 @@ def test_gradient_is_that_of_the_likelihood():
 def test_pii_rows(docs, tagger):
     rows = {r.doc_id: r for r in pii.find(docs, tagger).collect()}
     assert len(rows) == 10 and rows[7].n_email == 1 and rows[7].n_ip == 1
-    assert rows[7].base_sha256 == hashlib.sha256(b"email:9:16,ip:32:40").hexdigest()
+    assert rows[7].base_sha256 == hashlib.sha256(b"email:9:18,ip:34:42").hexdigest()
     assert rows[2].spans == "" and rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
