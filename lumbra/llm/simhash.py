@@ -289,10 +289,3 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     found = components(written(links(vertices, radius), "links"))
     named = vertices.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the near-duplicates: of each component the smallest doc_id stays. Of repeated rows with that id one stays; rows with a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), F.col(id_col) == F.col("__gone"), "left_anti")

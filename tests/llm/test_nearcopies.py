@@ -83,3 +83,9 @@ def test_prefixes_of_similar_sets_meet():
             both = [x for x in p if x in q]
             size, i, j = np.array([len(a), len(b)]), np.zeros(len(both), int), np.ones(len(both), int)
             assert any(nearcopies._possible(size, np.array([p[x], q[x]]), i[:1], j[:1], 0.8)[0] for x in both)
+
+
+def test_rows_are_judged_by_id_and_text(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "nobody has this text at all here")]
+    found = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [rows[0], rows[3]]
