@@ -36,4 +36,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components still change after {ROUNDS} rounds")
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component"))).distinct()
