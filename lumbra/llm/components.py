@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
 Each round reads the edges written by the one before and writes its own to the shared folder, so plans stay short and
-a lost executor costs a round at most. Joins are on a node's minimum, which is pre-aggregated; the node of a
-giant star is a skewed key that adaptive execution splits.
+a lost executor costs a round at most. Joins are on a node's least neighbour, which is pre-aggregated; the rows of a
+giant star's node meet it in all tasks (:func:`common.join_unique`).
 """
 
 from __future__ import annotations
@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, join_unique, written
 
+#: Rounds grow with the logarithm of a component's diameter; beyond these an error is raised.
 ROUNDS = 60
 
 
@@ -25,14 +26,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = written(e, "edges")
     before = _state(e)
     for _ in range(ROUNDS):
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        if not before[0]:
+            break
+        # a neighbour takes the least of a node's neighbours and itself: that is below it only if it is the upper end of an edge
+        below = e.groupBy("hi").agg(F.min("lo").alias("m")).withColumnRenamed("hi", "lo")
+        large = written(join_unique(e, below, ["lo"], "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct(), "large")
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(low, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        moved = join_unique(large, low, ["hi"]).filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after = written(moved.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-        drop_written(e)
-        e, now = after, _state(after)
+        now = _state(after)
+        for x in (e, large):
+            drop_written(x)
+        e = after
         if now == before:
             break
         before = now

@@ -5,11 +5,13 @@ equal buckets of several bands count once. Within a bucket the exact Jaccard sim
 a spanning forest of the links goes to distributed union-find (:mod:`components`). Of each component, and of each set of equal
 lines, the first occurrence by (doc_id, line number) stays.
 
-Bands by which too many lines meet are found on a hash sample and dealt out as pairs of blocks, so that no task
-gathers a hot bucket. Texts are moved for lines that meet another one only.
+A line that a task has met before is not hashed again there. Bands by which too many different lines meet are found on a hash sample and dealt
+out as pairs of blocks, so that no task gathers a hot bucket. Texts are moved for lines that meet another one only: a bitmap of their
+hashes, of bounded size, sorts out the others where they lie.
 
 Blank lines are kept and compared with nothing. Lines shorter than a shingle are one shingle. Null texts are one blank line. Rows with the same doc_id count
-as one document; lines of rows with a null doc_id are kept and remove nothing. Lines are known by 64-bit hashes.
+as one document; lines of rows with a null doc_id are kept and remove nothing. Lines are known by 96-bit hashes; within a bucket
+the texts decide. Extra columns are kept, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, keyed_texts, map_texts, record, written
+from .common import bound_batches, chunks, join_unique, key_filter, keyed_texts, map_texts, passes, record, unused, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 6
 #: A band key is hot above this many lines, as a sample of 1 in SAMPLED lines tells; it is dealt out in blocks of half as many.
 HOT, SAMPLED = 4096, 16
+#: Characters whose shingles are hashed at once; hashes that a task remembers.
+AT_ONCE, SEEN = 128 << 10, 400_000
 _P, _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _EMPTY = np.uint64(2**64 - 1)
 
@@ -66,7 +70,7 @@ def signatures(lines: list[str], bins: int = BANDS * ROWS, size: int = SHINGLE)
     """(lines, bins) one-permutation MinHash; an empty bin takes the next full one's value, told apart by the distance."""
     h, counts = shingle_hashes(lines, size)
     sig = np.full(len(lines) * bins, _EMPTY, np.uint64)
-    where = np.repeat(np.arange(len(lines)) * bins, counts) + (h % np.uint64(bins)).astype(np.int64)
+    where = np.repeat(np.arange(len(lines)) * bins, counts) + ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
     np.minimum.at(sig, where, h)
     sig = sig.reshape(len(lines), bins)
     holes = np.flatnonzero((sig == _EMPTY).any(1) & (counts > 0))
@@ -89,8 +93,11 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
-def line_id(line: str) -> int:
-    return xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+def line_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of each line's hash."""
+    digest = xxhash.xxh3_128_digest
+    both = np.frombuffer(b"".join([digest(x.encode("utf-8", "surrogatepass")) for x in lines]), ">u8").reshape(-1, 2).astype(np.uint64)
+    return both[:, 1], (both[:, 0] & np.uint64(2**32 - 1)).astype(np.uint32)
 
 
 def _split(text: str) -> list[str]:
@@ -98,45 +105,77 @@ def _split(text: str) -> list[str]:
 
 
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(h, doc_id, no) of every line; h is null for blank lines."""
-    schema = pa.schema([("h", pa.uint64()), ("doc_id", pa.int64()), ("no", pa.int32())])
-    signed = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("no", pa.int32())])
+    """(h, g, doc_id, no) of every line that is not blank, in documents with an id."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("no", pa.int32())])
 
-    def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(None if not line.strip() else line_id(line), doc, i) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for i, line in enumerate(_split(text))]
-        b = record(schema, *zip(*found, strict=True))
-        return record(signed, b.column("h").view(pa.int64()), b.column("doc_id"), b.column("no"))
+    def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        found = [(doc, no, line) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) if doc is not None for no, line in enumerate(_split(text)) if line and not line.isspace()]
+        if not found:
+            return None
+        doc, no, lines = zip(*found, strict=True)
+        h, g = line_ids(lines)
+        return record(schema, h.view(np.int64), g.view(np.int32), doc, no)
+
+    return map_texts(rows, run, "h long, g int, doc_id long, no int")
+
+
+class _Fresh:
+    """The different lines of a task's batches; one that was met before is left out, as long as SEEN hashes hold it."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
 
-    return map_texts(rows, run, "h long, doc_id long, no int")
+    def __call__(self, part: pa.RecordBatch, keep=None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        lines = list({line for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) if doc is not None for line in _split(text) if line and not line.isspace()})
+        h, g = line_ids(lines)
+        if keep is not None:
+            at = np.flatnonzero(keep(h))
+            h, g, lines = h[at], g[at], [lines[i] for i in at.tolist()]
+        new = [i for i, x in enumerate(h.tolist()) if x not in self.seen]
+        if len(self.seen) > SEEN:
+            self.seen = set()
+        self.seen.update(h.tolist())
+        return h[new], g[new], [lines[i] for i in new]
 
 
-def _distinct_lines(part: pa.RecordBatch) -> dict[int, str]:
-    return {line_id(line): line for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) if doc is not None for line in _split(text) if line.strip()}
+def _keys(lines: list[str]) -> np.ndarray:
+    """The band keys of all lines, a bounded number of characters at a time."""
+    out, at, size = [], 0, 0
+    for i, line in enumerate(lines):
+        if size and size + len(line) > AT_ONCE:
+            out.append(band_keys(signatures(lines[at:i])))
+            at, size = i, 0
+        size += len(line)
+    return np.concatenate([*out, band_keys(signatures(lines[at:]))])
 
 
-def bands(rows: DataFrame, one_in: int = 1) -> DataFrame:
-    """(key, h) of every line, once for each batch that holds it; ``one_in``: of a sample of lines by hash."""
+def bands(rows: DataFrame, one_in: int = 1, deal=None) -> DataFrame:
+    """(key, h) of every line, about once for each task that holds it; ``one_in``: of a sample of lines by hash; ``deal``: what becomes of (keys, hashes)."""
     schema = pa.schema([("key", pa.int64()), ("h", pa.int64())])
+    fresh = _Fresh()
+    keep = (lambda h: h % np.uint64(one_in) == 0) if one_in > 1 else None
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        lines = {h: line for h, line in _distinct_lines(part).items() if h % one_in == 0}
+        h, _, lines = fresh(part, keep)
         if not lines:
             return None
-        h = np.fromiter(lines, np.uint64, len(lines))
-        keys = band_keys(signatures(list(lines.values())))
-        return record(schema, keys.ravel().view(np.int64), np.repeat(h, BANDS).view(np.int64))
+        key, h = _keys(lines).ravel().view(np.int64), np.repeat(h, BANDS).view(np.int64)
+        return record(schema, *(deal(key, h) if deal else (key, h)))
 
     return map_texts(rows, run, "key long, h long")
 
 
-def line_texts(rows: DataFrame) -> DataFrame:
-    schema = pa.schema([("h", pa.int64()), ("line", pa.string())])
+def line_texts(rows: DataFrame, only: np.ndarray) -> DataFrame:
+    """(h, g, line) of the different lines that pass a bitmap."""
+    schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("line", pa.string())])
+    fresh = _Fresh()
+    shared = rows.sparkSession.sparkContext.broadcast(only)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        lines = _distinct_lines(part)
-        return record(schema, np.fromiter(lines, np.uint64, len(lines)).view(np.int64), list(lines.values())) if lines else None
+        h, g, lines = fresh(part, lambda h: passes(shared.value, h))
+        return record(schema, h.view(np.int64), g.view(np.int32), lines) if lines else None
 
-    return map_texts(rows, run, "h long, line string")
+    return map_texts(rows, run, "h long, g int, line string").repartition("h").groupBy("h", "g").agg(F.first("line").alias("line"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, fields: list[str]) -> Iterator[tuple]:
@@ -156,28 +195,67 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str, fields: list[str]) -> I
         yield tuple(held.column(c).combine_chunks() for c in (key, *fields))
 
 
+def _once(key: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of rows in order, those that differ from the one before."""
+    out = np.ones(len(key), bool)
+    out[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+    return out
+
+
+#: Hot keys that every task holds; more are joined by a shuffle.
+HELD = 100_000
+
+
+def _dealer(keys: np.ndarray, blocks: np.ndarray):
+    """Deals out the rows of hot keys: a row goes to each pair of blocks that its own is in, under a key of the pair's."""
+
+    def deal(key: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hot = keys[at] == key
+        if not hot.any():
+            return key, h
+        many = blocks[at[hot]]
+        other = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        own = np.repeat((_mix(h[hot].view(np.uint64)) % many.astype(np.uint64)).astype(np.int64), many)
+        pair = np.stack([np.minimum(own, other), np.maximum(own, other)]).astype(np.uint64)
+        dealt = _mix(_mix(np.repeat(key[hot].view(np.uint64), many) + pair[0] * _P) + pair[1] * _P).view(np.int64)
+        return np.concatenate([key[~hot], dealt]), np.concatenate([h[~hot], np.repeat(h[hot], many)])
+
+    return deal
+
+
+def dealt_bands(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """The bands of all lines, with those of hot keys (key, blocks) dealt out as pairs of blocks."""
+    n = hot.count()  # a row for each HOT different lines at most
+    if not n:
+        return bands(rows)
+    if n <= HELD:
+        names = hot.orderBy("key").toArrow()
+        return bands(rows, deal=_dealer(names.column("key").to_numpy(), names.column("blocks").to_numpy()))
+    found = bands(rows)
+    block = F.pmod(F.xxhash64("h"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.xxhash64("key", F.least(x, block), F.greatest(x, block)))
+    return found.join(hot, "key", "left_anti").unionByName(found.join(hot, "key").select(F.explode(pairs).alias("key"), "h"))
+
+
 def buckets(rows: DataFrame) -> DataFrame:
     """(bucket, h): lines that share a band; a bucket's name is made of its members, so equal buckets are one."""
-    found = bands(rows)
-    sampled = bands(rows, SAMPLED).groupBy("key").count().filter(F.col("count") > HOT // SAMPLED)
-    hot = written(sampled.select("key", F.ceil(F.col("count") * SAMPLED / (HOT // 2)).cast("int").alias("blocks")), "hot")
-    n = hot.count()
-    dealt = found.withColumn("part", F.lit(0))
-    if n:  # a row for each HOT lines at most; beyond a safe size the join is a shuffle that splits hot keys
-        block = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-        pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.least(x, block) * 65536 + F.greatest(x, block)).cast("int")))
-        dealt = found.join(F.broadcast(hot) if n < 100_000 else hot, "key", "left").select("key", "h", F.explode(pairs).alias("part"))
-    dealt = dealt.select(F.when(F.col("part") == 0, F.col("key")).otherwise(F.xxhash64("key", "part")).alias("key"), "h")
+    sampled = bands(rows, SAMPLED).distinct().groupBy("key").count().filter(F.col("count") > HOT // SAMPLED)
+    hot = written(sampled.select("key", F.ceil(F.col("count") * SAMPLED / (HOT // 2)).cast("long").alias("blocks")), "hot")
+    dealt = dealt_bands(rows, hot)
     schema = pa.schema([("bucket", pa.int64()), ("h", pa.int64())])
 
+    def different(batches):
+        """A line that several tasks sent comes several times, one behind the other."""
+        for b in batches:
+            once = _once(b.column("key").to_numpy(), b.column("h").to_numpy())
+            yield b if once.all() else b.filter(pa.array(once))
+
     def run(batches):
         seen: set[int] = set()
-        for key, h in _groups(batches, "key", ["h"]):
+        for key, h in _groups(different(batches), "key", ["h"]):
             key, h = key.to_numpy(), h.to_numpy()
-            order = np.lexsort((h, key))
-            key, h = key[order], h[order]
-            once = np.ones(len(key), bool)
-            once[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])  # a line comes once from each batch that holds it
+            once = _once(key, h)
             key, h = key[once], h[once]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
@@ -192,8 +270,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             if take.any():
                 yield record(schema, np.repeat(name, size)[take].view(np.int64), h[take])
 
-    bound_batches(rows.sparkSession, rows=50_000)
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, h long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "bucket long, h long").distinct()
 
 
 def forest(lines: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -243,65 +320,84 @@ def _forest(sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     return edges
 
 
+LINKS = "ah long, ag int, bh long, bg int"
+
+
 def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): line ids that connect all lines found similar."""
+    """(ah, ag, bh, bg): the hashes of lines, as links that connect all lines found similar."""
     members = written(buckets(rows), "buckets")
     wanted = members.select("h").distinct()
-    texts = line_texts(rows).join(wanted, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    texts = line_texts(rows, key_filter(wanted, "h", members.count()))
+    schema = pa.schema([("ah", pa.int64()), ("ag", pa.int32()), ("bh", pa.int64()), ("bg", pa.int32())])
 
     def run(batches):
-        for bucket, h, line in _groups(batches, "bucket", ["h", "line"]):
-            key, ids, line = bucket.to_numpy(), h.to_pylist(), line.to_pylist()
+        for bucket, h, g, line in _groups(batches, "bucket", ["h", "g", "line"]):
+            key, h, g, line = bucket.to_numpy(), h.to_pylist(), g.to_pylist(), line.to_pylist()
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sets = shingle_sets(line)
-            found = []
-            for s, e in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
-                found += [(ids[s + i], ids[s + j]) for i, j in _forest(sets[s:e], threshold)]
+            ends, found, size = np.append(first[1:], len(key)), [], 0
+            at = 0  # buckets whose lines are hashed together
+            for k, e in enumerate(ends.tolist()):
+                size += sum(map(len, line[first[k] : e]))
+                if size < AT_ONCE and k < len(ends) - 1:
+                    continue
+                low = int(first[at])
+                sets = shingle_sets(line[low:e])
+                for s, t in zip(first[at : k + 1].tolist(), ends[at : k + 1].tolist(), strict=True):
+                    found += [(h[s + i], g[s + i], h[s + j], g[s + j]) for i, j in _forest(sets[s - low : t - low], threshold)]
+                at, size = k + 1, 0
             if found:
                 yield record(schema, *zip(*found, strict=True))
 
-    joined = members.join(texts, "h")
-    bound_batches(rows.sparkSession, rows=2000, size=8 << 20)
-    return joined.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    bound_batches(rows.sparkSession)
+    return members.join(texts, "h").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LINKS)
+
+
+def classes(found: DataFrame) -> DataFrame:
+    """Written links to (h, g, class): a number for each component, of lines with a link."""
+    nodes = written(found.select(F.explode(F.array(F.struct(F.col("ah").alias("h"), F.col("ag").alias("g")), F.struct(F.col("bh").alias("h"), F.col("bg").alias("g")))).alias("x")).select("x.*").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+    edges = found.join(nodes.selectExpr("h as ah", "g as ag", "node as a"), ["ah", "ag"]).join(nodes.selectExpr("h as bh", "g as bg", "node as b"), ["bh", "bg"]).select("a", "b")
+    return nodes.join(components(edges), "node").select("h", "g", F.col("component").alias("class"))
 
 
 def removed(docs: DataFrame, threshold: float = THRESHOLD, **columns: str) -> DataFrame:
-    """(doc_id, no, gone) of every line: gone if an earlier one of its component stays in its place."""
+    """(doc_id, no) of every line that goes, as an earlier one of its component stays in its place."""
     rows = keyed_texts(docs, **columns)
-    found = components(written(links(rows, threshold), "links"))
+    named = classes(written(links(rows, threshold), "links"))
     every = written(occurrences(rows), "lines")
-    firsts = every.filter("h is not null and doc_id is not null").groupBy("h").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    classed = firsts.join(found, F.col("h") == F.col("node"), "left").select("h", "first", "n", F.coalesce("component", "h").alias("class"), F.col("component").isNotNull().alias("near"))
-    alone = classed.filter("not near and n > 1").select("h", "first")
-    near = written(classed.filter("near").select("h", "first", "class"), "near")
+    firsts = every.groupBy("h", "g").agg(F.min(F.struct("doc_id", "no")).alias("first"), F.count(F.lit(1)).alias("n"))
+    classed = written(firsts.join(named, ["h", "g"], "left").filter("n > 1 or class is not null"), "classed")
+    alone = classed.filter("class is null").select("h", "g", "first")
+    near = classed.filter("class is not null")
     kept = near.groupBy("class").agg(F.min("first").alias("kept"))
-    stays = alone.unionByName(near.join(kept, "class").select("h", F.col("kept").alias("first")))
-    return every.join(stays, "h", "left").select("doc_id", "no", F.coalesce(F.col("doc_id").isNotNull() & (F.struct("doc_id", "no") != F.col("first")), F.lit(False)).alias("gone"))
+    stays = written(alone.unionByName(near.join(kept, "class").select("h", "g", F.col("kept").alias("first"))), "stays")
+    return join_unique(every, stays, ["h", "g"]).filter(F.struct("doc_id", "no") != F.col("first")).select("doc_id", "no")
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """A row for each document: its lines, how many of them are removed, and their numbers from 0."""
-    gone = F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("no"))))
-    return removed(docs, **options).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if("gone").alias("n_removed"), gone.alias("removed_lines"))
+    count = keyed_texts(docs, id_col, text_col).select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n"), F.lit(None).cast("int").alias("no"))
+    gone = removed(docs, id_col=id_col, text_col=text_col, **options).select("doc_id", F.lit(0).cast("long").alias("n"), "no")
+    return count.unionByName(gone).groupBy("doc_id").agg(F.sum("n").alias("n_lines"), F.count("no").alias("n_removed"), F.sort_array(F.collect_list("no")).alias("removed_lines"))
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the removed lines; all rows and columns stay, and a text may become empty."""
     columns = docs.columns
-    cut = removed(docs, id_col=id_col, text_col=text_col, **options).filter("gone").groupBy("doc_id").agg(F.collect_list("no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(cut, F.col(id_col) == F.col("__id"), "left").select(*columns, "__gone")
+    own, gone = unused(columns, "__id", "__gone")
+    cut = removed(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list("no").alias(gone))
+    joined = docs.join(cut, docs[id_col].cast("long") == F.col(own), "left").select(*[docs[c] for c in columns], gone)
     bound_batches(docs.sparkSession)
+    out_schema = docs.schema
 
     def run(batches):
         for whole in batches:
             for b in chunks([whole], text_col):
                 texts = []
-                for text, gone in zip(b.column(text_col).to_pylist(), b.column("__gone").to_pylist(), strict=True):
-                    if text is not None and gone:
-                        out = set(gone)
+                for text, lost in zip(b.column(text_col).to_pylist(), b.column(gone).to_pylist(), strict=True):
+                    if text is not None and lost:
+                        out = set(lost)
                         text = "\n".join(x for i, x in enumerate(_split(text)) if i not in out)
                     texts.append(text)
-                yield b.drop_columns(["__gone"]).set_column(columns.index(text_col), text_col, pa.array(texts, pa.string()))
+                yield b.drop_columns([gone]).set_column(columns.index(text_col), text_col, pa.array(texts, pa.string()))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, out_schema)

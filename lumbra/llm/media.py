@@ -136,7 +136,7 @@ def pcm_of(media: bytes | None) -> tuple[int, np.ndarray] | None:
 
 def decode_audio(df: DataFrame, media_col: str = "media", factor: int = 2, out_col: str = "pcm") -> DataFrame:
     """``df`` with ``out_col``: the resampled 16-bit PCM WAV of a media column; null where the bytes can't be decoded."""
-    bound_batches(df.sparkSession, rows=64)
+    bound_batches(df.sparkSession)
     schema = df.drop(out_col).withColumn(out_col, F.lit(None).cast("binary")).schema
 
     def run(batches):
