@@ -36,6 +36,14 @@ HOT = 2048
 PAIR_COST = 0.02
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the unsigned hashes."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 32_768):
+        votes += np.unpackbits(hashes[at : at + 32_768].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(raw: bytes, words: int = 4, seed: int = SEED) -> int:
     """``raw``: UTF-8. The fingerprint as an unsigned integer."""
     parts = raw.lower().split()  # bytes: A-Z alone, ASCII white space alone
@@ -47,11 +55,7 @@ def fingerprint(raw: bytes, words: int = 4, seed: int = SEED) -> int:
     n = max(1, len(parts) - words + 1)
     digest = xxhash.xxh64_intdigest
     ends = ends[words - 1 :] if len(parts) >= words else ends[-1:]
-    votes = np.zeros(BITS, np.int64)
-    for at in range(0, n, 32_768):
-        h = np.array([digest(text[s:e], seed) for s, e in zip(starts[at : min(n, at + 32_768)].tolist(), ends[at : at + 32_768].tolist(), strict=True)], np.uint64)
-        votes += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > n).tobytes(), "big")
+    return majority(np.fromiter((digest(text[s:e], seed) for s, e in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,8 +267,9 @@ def links(vertices: DataFrame, radius: int = 4) -> DataFrame:
     # the bounded sample: those of least hash, the same on every run
     n = vertices.count()
     share = min(1.0, 2 * SAMPLE / max(n, 1))
-    pick = vertices.filter(F.abs(F.hash("fp")) < int(share * (1 << 31))) if share < 1 else vertices
-    sample = np.array([r[0] for r in pick.select("fp").limit(SAMPLE).collect()], np.int64)
+    order = F.xxhash64("fp").bitwiseAND(F.lit((1 << 31) - 1))
+    pick = vertices.withColumn("o", order).filter(F.col("o") < int(share * (1 << 31))) if share < 1 else vertices.withColumn("o", order)
+    sample = np.array([r[0] for r in pick.orderBy("o", "fp").limit(SAMPLE).select("fp").collect()], np.int64)
     probes = [(*_masks(g, t),) for g, t in plan(np.sort(sample), n, radius)]
     key = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(F.lit(flip)).alias("value"), F.lit(flip == 0).alias("own")) for k, (mask, flips) in enumerate(probes) for flip in flips])
     rows = vertices.filter("rep is not null").select("fp", "rep", F.explode(key).alias("k")).select("k.part", "k.value", "k.own", "fp", "rep")
@@ -277,7 +282,7 @@ def links(vertices: DataFrame, radius: int = 4) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
     )
     dealt = both.select("part", "value", "fp", "rep", F.explode(pairs).alias("p")).select("part", "value", "p.i", "p.j", "fp", "rep")
-    bound_batches(spark, rows=20_000)
+    bound_batches(spark)
     keys = ["part", "value", "i", "j"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(radius), "a long, b long")
 
@@ -289,3 +294,13 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     found = components(written(links(vertices, radius), "links"))
     named = vertices.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return table.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without near-duplicates by a similarity of word shingles: of each component one row of the text with the smallest doc_id stays.
+
+    64 bits can't tell a similarity of 0.8: such texts differ in about 10, and probing every fingerprint within 14 costs more than all else. So
+    candidates come from prefix filtering, fingerprints rule most of them out, and the exact similarity decides (:mod:`nearcopies`)."""
+    from .nearcopies import keep_first as kept
+
+    return kept(docs, words, similarity, id_col, text_col)

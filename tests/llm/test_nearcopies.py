@@ -9,6 +9,8 @@ import pytest
 
 import corpus_pipeline
 from lumbra.llm import nearcopies
+from lumbra.llm.lines import _mix
+from lumbra.llm.simhash import majority
 
 
 def shingle_set(text):
@@ -82,7 +84,21 @@ def test_prefixes_of_similar_sets_meet():
             q = {x: i for i, x in enumerate(b[: nearcopies.prefix_length(len(b))].tolist())}
             both = [x for x in p if x in q]
             size, i, j = np.array([len(a), len(b)]), np.zeros(len(both), int), np.ones(len(both), int)
-            assert any(nearcopies._possible(size, np.array([p[x], q[x]]), i[:1], j[:1], 0.8)[0] for x in both)
+            fp = np.array([majority(_mix(x.astype(np.uint64))) for x in (a, b)], np.uint64)
+            assert any(nearcopies._possible(size, np.array([p[x], q[x]]), fp, i[:1], j[:1], 0.8)[0] for x in both)
+
+
+def test_fingerprints_of_similar_sets_are_near():
+    rng = np.random.default_rng(3)
+    worst = 0
+    for n in (32, 40, 80, 300):
+        for _ in range(1500):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            gone = int(rng.integers(0, n - int(np.ceil(0.8 * n)) + 1))  # with as many new ones as a similarity of 0.8 allows
+            new = int((n - gone) / 0.8 - n + 1e-9)
+            b = np.concatenate([a[gone:], rng.integers(0, 2**63, max(new, 0)).astype(np.uint64)])
+            worst = max(worst, (majority(a) ^ majority(b)).bit_count())
+    assert worst <= nearcopies.RADIUS - 1
 
 
 def test_rows_are_judged_by_id_and_text(spark):

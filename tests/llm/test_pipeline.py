@@ -9,6 +9,7 @@ from test_nearcopies import kept
 
 import corpus_pipeline
 from lumbra.llm import mixing, packing, quality
+from lumbra.llm.common import written
 
 
 def grams(line):
@@ -63,7 +64,7 @@ def test_run_keeps_what_plain_stages_keep(spark, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     found = docs
     for name, plain in (("quality", accepted), ("lines", lined), ("near-duplicates", want)):
-        found = stages[name](spark, found, str(tmp_path)).localCheckpoint()
+        found = written(stages[name](spark, found, str(tmp_path)), "stage")
         assert sorted((r.doc_id, r.text) for r in found.collect()) == sorted(plain), name
     source = {i: s for i, _, s in rows}
     plain = spark.createDataFrame([(i, t, source[i]) for i, t in want], "doc_id long, text string, source string")
