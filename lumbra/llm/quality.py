@@ -2,11 +2,13 @@
 
 Each text gives FEATURES statistics of its characters, words and lines, transformed towards normal shape.
 Class sums and sums of products are added up over all labelled training rows; from these come the class
-means and covariances, shrunk towards the pooled covariance and a multiple of the identity. Scoring uses the
-cached Cholesky factors: the log-density difference by two triangular solves gives the probability.
+means and covariances, shrunk towards the pooled covariance and its diagonal. The Cholesky factors and their inverses are
+cached; the log-density difference of the two Mahalanobis distances gives the probability.
 
 Null and empty texts have all statistics zero and get the score of that point. Labels, lang, source and
-doc_id are no inputs of a score. Without labelled rows of both classes every score is the prior, 0.5.
+doc_id are no inputs of a score. Without labelled rows of both classes every score is the prior, 0.5. Rows with a null
+doc_id are scored and never learnt from; repeated rows are scored each and learnt from each. Of a label given twice each counts. Extra
+columns are kept by keep_good, whatever their names, and ignored else. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, keyed_texts, map_texts, record
+from .common import bound_batches, chunks, key_filter, keyed_texts, map_texts, passes, record, unused
 
 NAMES = ("length", "upper", "digit", "space", "newline", "stop", "comma", "bang", "symbol", "bar", "other", "word_length", "word_spread", "distinct", "top_word", "top_pair", "line_length", "repeat_lines", "short_words", "stop_ratio")
 FEATURES = len(NAMES)
@@ -102,13 +104,20 @@ def held_out(doc_id: int | None, folds: int = 5) -> bool:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5) -> Discriminant:
     """Sums over all labelled rows outside fold 0; the driver gets the 2 x (1 + F + F x F) sums alone."""
+    spark = docs.sparkSession
     schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
 
-    def features(part: pa.RecordBatch) -> pa.RecordBatch:
-        return record(schema, part.column("doc_id"), [statistics(t) for t in part.column("text").to_pylist()])
+    fold = F.crc32(F.col("doc_id").cast("string")) % folds != 0
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(fold)
+    # statistics are taken of labelled texts alone: a bitmap of their ids, of bounded size, sorts out the others where they lie
+    place = F.xxhash64("doc_id").alias("k")
+    marked = spark.sparkContext.broadcast(key_filter(known.select(place), "k", known.count()))
 
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
-    rows = map_texts(keyed_texts(docs).filter("doc_id is not null").filter(F.crc32(F.col("doc_id").cast("string")) % folds != 0), features, "doc_id long, x array<double>").join(known, "doc_id").select("y", "x")
+    def features(part: pa.RecordBatch) -> pa.RecordBatch | None:
+        part = part.filter(pa.array(passes(marked.value, part.column("k").to_numpy().view(np.uint64))))
+        return record(schema, part.column("doc_id"), [statistics(t) for t in part.column("text").to_pylist()]) if part.num_rows else None
+
+    rows = map_texts(keyed_texts(docs).filter("doc_id is not null").filter(fold).select("*", place), features, "doc_id long, x array<double>").join(known, "doc_id").select("y", "x")
     out = pa.schema([("y", pa.int32()), ("at", pa.int32()), ("v", pa.float64())])
 
     def sums(batches):
@@ -149,11 +158,12 @@ def classify(docs: DataFrame, model: Discriminant, threshold: float = 0.3) -> Da
 def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with all their columns."""
     columns = docs.columns
+    (text,) = unused(columns, "__text")
 
     def run(batches):
-        for part in chunks(batches, "__text"):
-            s = model.score(np.stack([statistics(t) for t in part.column("__text").to_pylist()]))
-            yield part.drop_columns(["__text"]).filter(pa.array(s >= threshold))
+        for part in chunks(batches, text):
+            s = model.score(np.stack([statistics(t) for t in part.column(text).to_pylist()]))
+            yield part.drop_columns([text]).filter(pa.array(s >= threshold))
 
     bound_batches(docs.sparkSession)
-    return docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, docs.select(*columns).schema)
+    return docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, docs.select(*columns).schema)
