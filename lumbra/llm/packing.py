@@ -1,12 +1,15 @@
 """Harmonic packing of token ids into sequences.
 
-A document is tokenized, ends with the end id, and is cut into pieces whose lengths are the reciprocals
-1, 1/2, 1/4, ... of the capacity (a power of two): as many whole sequences as fit, then the binary digits of what is left, longest
-first. All bins of a class hold the same fixed number of equal pieces, so every worker fills its bins by counting,
-without knowing of others and without a shuffle. What is left of a class at a partition's end becomes sequences
-of 1, 2, 4, ... pieces, whose lengths are powers of two and need no padding: nothing is padded at all.
+A document is tokenized and ends with the end id. As many whole sequences as fit are cut from it; the rest is a piece of class k if its length lies
+in (capacity / (k + 1), capacity / k]. A bin of class k takes exactly k pieces, so every worker fills its bins by
+counting, without knowing of others and without a shuffle. A rest far below its class's reciprocal would leave its bins padded; it is cut where that
+costs less than the padding: a table by length (:func:`cuts`) weighs a cut as CUT tokens of padding, so that a
+rest becomes about two pieces and bins are padded by half a percent.
 
-Null and empty texts are one piece of the end id. Repeated rows are packed each. Sequence ids hold the
+The bins that are still open at a partition's end are put one behind the other and cut into whole sequences, and what is left into sequences of
+1, 2, 4, ... ids, whose lengths are powers of two and need no padding.
+
+Null and empty texts are one piece of the end id. Null doc_ids are packed as others. Repeated rows are packed each. Extra columns are ignored. An empty table gives no pieces. Sequence ids hold the
 partition's number in their upper half. They are reproducible as long as the input's partitions are.
 
 Ids are those of the tokenizer's library. It drops white space and joins no characters across it, so a text is
@@ -21,6 +24,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -32,6 +36,8 @@ from .common import bound_batches, chunks, keyed_texts, record
 
 CAPACITY = 2048
 END = 1
+#: Tokens of padding that a cut is worth.
+CUT = 16
 #: A word of Latin-1 letters, and punctuation behind it: the tokenizer lower-cases and splits between the two.
 PLAIN = "^(?P<a>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)(?P<b>[.,;:!?*#%&$|]*)$"
 #: Bytes of a run of letters that the merges below take; longer ones go to the library.
@@ -217,10 +223,30 @@ def word_ids(path: str) -> WordIds:
     return _WORDS[path]
 
 
+@cache
+def cuts(capacity: int = CAPACITY, cut: int = CUT) -> list[tuple[int, ...]]:
+    """By length below the capacity, the lengths of its pieces. Dynamic programming: a piece costs ``cut`` tokens, and the padding that it leaves in its class's share of a bin."""
+    costs, plan = [0.0], [()]
+    slots = sorted({capacity // k for k in range(2, capacity + 1) if capacity // k >= cut}, reverse=True)
+    for n in range(1, capacity):
+        best = cut + capacity / (capacity // n) - n, (n,)
+        for own in slots:
+            if own < n:
+                cost = cut + capacity / (capacity // own) - own + costs[n - own]
+                if cost < best[0]:
+                    best = cost, (own, *plan[n - own])
+        costs.append(best[0])
+        plan.append(best[1])
+    return plan
+
+
 def piece_lengths(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Whole sequences first, then the binary digits of the rest."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << i for i in range(capacity.bit_length() - 2, -1, -1) if rest >> i & 1]
+    """Whole sequences first, then the pieces of the rest."""
+    return [capacity] * (n // capacity) + list(cuts(capacity)[n % capacity])
+
+
+#: (doc_id, start, ids, the document's ids)
+Piece = tuple[int | None, int, np.ndarray, int]
 
 
 class Bins:
@@ -228,27 +254,39 @@ class Bins:
 
     def __init__(self, first: int, capacity: int = CAPACITY) -> None:
         self.next, self.capacity = first, capacity
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, list[Piece]] = {}
 
-    def _sequence(self, length: int, pieces: list[tuple]) -> Iterator[tuple]:
-        for i, piece in enumerate(pieces):
-            yield (*piece, self.next, i * length)
+    def _sequence(self, pieces: list[Piece]) -> Iterator[tuple]:
+        offset = 0
+        for doc_id, start, ids, size in pieces:
+            yield doc_id, start, len(ids), zlib.crc32(ids.tobytes()), size, self.next, offset, ids
+            offset += len(ids)
         self.next += 1
 
-    def add(self, length: int, piece: tuple) -> Iterator[tuple]:
-        held = self.open.setdefault(length, [])
-        held.append(piece)
-        if len(held) * length == self.capacity:
-            yield from self._sequence(length, held)
-            self.open[length] = []
+    def add(self, piece: Piece) -> Iterator[tuple]:
+        k = self.capacity // len(piece[2])
+        held = self.open.setdefault(k, [])
+        held.append(piece if k == 1 else (*piece[:2], piece[2].copy(), piece[3]))  # a view would keep its whole document
+        if len(held) == k:
+            yield from self._sequence(held)
+            self.open[k] = []
 
     def close(self) -> Iterator[tuple]:
-        for length, held in sorted(self.open.items()):
-            while held:
-                n = 1 << len(held).bit_length() - 1
-                yield from self._sequence(length, held[:n])
-                held = held[n:]
+        rest = [p for _, held in sorted(self.open.items()) for p in held][::-1]
         self.open = {}
+        left = sum(len(p[2]) for p in rest)
+        while left:
+            room = self.capacity if left >= self.capacity else 1 << left.bit_length() - 1
+            left -= room
+            own = []
+            while room:
+                doc_id, start, ids, size = rest.pop()
+                if len(ids) > room:
+                    rest.append((doc_id, start + room, ids[room:], size))
+                    ids = ids[:room]
+                own.append((doc_id, start, ids, size))
+                room -= len(ids)
+            yield from self._sequence(own)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -258,7 +296,7 @@ _NAMES = re.findall(r"(\w+) long", PIECES)
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece; ``with_ids`` adds the piece's ids."""
     path = path or tokenizer_path()
-    bound_batches(docs.sparkSession, rows=4096)
+    bound_batches(docs.sparkSession)
     schema = pa.schema([*((n, pa.int64()) for n in _NAMES), *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,18 +310,17 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
 
         def flush() -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
-            out = record(schema, columns[0], columns[1], columns[2], columns[3], columns[4], columns[-2], columns[-1], *([columns[5]] if with_ids else []))
+            out = record(schema, *columns[:7], *([[x.tolist() for x in columns[7]]] if with_ids else []))
             rows.clear()
             return out
 
         for whole in batches:
-            for part in chunks([whole], limit=8 << 20):
+            for part in chunks([whole]):
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), words.batch(part.column("text")), strict=True):
                     ids = np.append(ids, np.uint32(end)).astype("<u4")
                     at = 0
                     for length in piece_lengths(len(ids), capacity):
-                        own = ids[at : at + length]
-                        rows.extend(bins.add(length, (doc_id, at, length, zlib.crc32(own.tobytes()), len(ids), *([own.tolist()] if with_ids else []))))
+                        rows.extend(bins.add((doc_id, at, ids[at : at + length], len(ids))))
                         at += length
                         if len(rows) >= 20_000:
                             yield flush()
@@ -292,5 +329,3 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
             yield flush()
 
     return keyed_texts(docs, id_col, text_col).mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
-
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -310,10 +311,44 @@ def test_ids_equal_the_librarys():
     assert [x.tolist() for x in own] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_packing_is_whole_and_without_padding(docs):
-    rows = packing.pack(docs, with_ids=True).collect()
-    from collections import defaultdict
+def test_cuts_fill_their_classes():
+    plan = packing.cuts()
+    assert all(sum(own) == n for n, own in enumerate(plan))
+    padding = [sum(2048 / (2048 // x) - x for x in own) for own in plan[1:]]
+    assert sum(padding) / sum(range(2048)) < 0.005 and max(padding) < 64 and sum(map(len, plan)) / 2048 < 2.2 and max(map(len, plan)) <= 4
+    assert packing.piece_lengths(5000) == [2048, 2048, *plan[904]] and packing.piece_lengths(1) == [1]
+
 
+def test_bins_of_a_class_hold_its_number_of_pieces():
+    rng = np.random.default_rng(0)
+    bins, rows, pieces = packing.Bins(7 << 32), [], 0
+    for doc in range(3000):
+        ids, at = np.arange(int(rng.lognormal(6, 1.5)) + 1, dtype="<u4"), 0
+        for n in packing.piece_lengths(len(ids)):
+            rows += list(bins.add((doc, at, ids[at : at + n], len(ids))))
+            at += n
+            pieces += 1
+    whole = defaultdict(list)
+    for r in rows:
+        whole[r[5]].append(r)
+    for own in whole.values():
+        assert len({2048 // r[2] for r in own}) == 1 and len(own) == 2048 // own[0][2]
+    last = list(bins.close())
+    sizes = defaultdict(int)
+    for r in last:
+        sizes[r[5]] += r[2]
+    assert all(n & (n - 1) == 0 for n in sizes.values()) and not bins.open
+    used = sum(r[2] for r in rows)
+    assert 1 - used / (2048 * len(whole)) < 0.01 and pieces / 3000 < 3.5
+    by_doc = defaultdict(list)
+    for r in rows + last:
+        by_doc[r[0]].append((r[1], r[2], r[4], r[7]))
+    for own in by_doc.values():
+        assert np.array_equal(np.concatenate([x[3] for x in sorted(own, key=lambda x: x[0])]), np.arange(own[0][2]))
+
+
+def test_packing_is_whole_and_hardly_padded(docs):
+    rows = packing.pack(docs, with_ids=True).collect()
     by_seq = defaultdict(list)
     for r in rows:
         by_seq[r.sequence_id].append(r)
@@ -323,8 +358,10 @@ def test_packing_is_whole_and_without_padding(docs):
         for r in sorted(own, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 2048 and at & (at - 1) == 0
+        assert at <= 2048
     total = sum(r.length for r in rows)
+    padded = sum(-sum(r.length for r in own) % 2048 for own in by_seq.values() if (n := sum(r.length for r in own)) & (n - 1))
+    assert padded <= 0.02 * total
     one = {r.doc_id: r.doc_tokens for r in rows}
     assert total == sum(one[i] for i, _, _ in EDGE) and one[2] == one[3] == 1
 
