@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all executors share, by spark.checkpoint.dir. Where that is unset a local master gets a folder of its own; on a cluster it is an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: executors need a folder that all of them share")
     own = tempfile.mkdtemp(prefix="lumbra-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own

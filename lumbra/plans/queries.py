@@ -97,7 +97,7 @@ def pipe_split_normalize(spark: SparkSession, d: str) -> DataFrame:
     return reconcile.prepare(analog.sheet(spark, d)).select("row_idx", "norm_tema", "norm_subtema")
 
 
-_TERMS = list(K.ABBREVIATIONS)[:160]
+_TERMS = [*K.ABBREVIATIONS, *K.ALIASES]
 
 
 @query(f"SELECT p_partkey, term, {EXPAND('term')} AS expanded FROM (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE upper([{', '.join(repr(t) for t in _TERMS)}][p_partkey % {len(_TERMS)} + 1]) END AS term FROM part)")
@@ -108,7 +108,10 @@ def synonym_expand(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_synonym(spark: SparkSession, d: str) -> DataFrame:
-    known = table(spark, d, "part").select(F.element_at(F.array(*[F.lit(t + "s") for t in _TERMS]), (F.col("p_partkey") % len(_TERMS) + 1).cast("int")).alias("word")).distinct()
+    """All terms with a letter more, and all names of the tables."""
+    part = table(spark, d, "part")
+    terms = spark.range(len(_TERMS)).select(F.element_at(F.array(*[F.lit(t + "s") for t in _TERMS]), (F.col("id") + 1).cast("int")).alias("word"))
+    known = terms.union(part.select("p_name")).union(part.select("p_type")).union(table(spark, d, "nation").select("n_name")).distinct()
     return known.select("word", scalar.fuzzy_synonym(F.col("word")).alias("expanded"))
 
 
