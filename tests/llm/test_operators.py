@@ -432,11 +432,6 @@ def test_quality_edges(docs):
 # --- mixing
 
 
-def test_water_fill():
-    assert mixing.water_fill([10, 100, 5], [5, 2, 1], 115, 3) == [30.0, 70.0, 15.0]
-    assert mixing.water_fill([], [], 0, 3) == []
-
-
 def test_mix_meets_targets(spark, docs):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(EDGE)
