@@ -5,8 +5,7 @@ the words around them alone and not on where a passage lies. From each sentence
 and WORDS words; its 96-bit hash is joined globally. Of each repeated run the first by (doc_id, offset) stays, and all sentences
 covered by any other are removed.
 
-Hashes alone are counted first; a bitmap of the repeated ones, of bounded size, then lets a second pass send on the runs that repeat and
-few others. First runs come from a pre-aggregated group, and meet the rows of a very common run in all tasks; no group is gathered in one.
+Hashes alone are counted first; a bitmap of the repeated ones, of bounded size, then lets the runs that repeat and few others go on. First runs come from a pre-aggregated group, and meet the rows of a very common run in all tasks; no group is gathered in one.
 
 Sentences are compared as their words, without case. Where words are longer than 20 characters in the mean (scripts without spaces) 6 characters count as a word.
 Null and empty texts have no runs. Rows with the same doc_id count as one document, which is its own first; rows with a null doc_id are
@@ -24,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, join_unique, key_filter, keyed_texts, map_texts, passes, record, unused, written
+from .common import bound_batches, chunks, drop_written, join_unique, key_filter, keyed_texts, map_texts, passes, record, unused, written
 
 RUN, WORDS, LONG, REACH = 3, 24, 12, 2
 SENTENCE = re.compile(r"[^.!?\n\u3002\uff01\uff1f]*+[.!?\n\u3002\uff01\uff1f]*+")
@@ -92,27 +91,32 @@ def _hashes(found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 1], (both[:, 0] & np.uint64(2**32 - 1)).astype(np.uint32)
 
 
+RUNS = "h long, g int, doc_id long, start int, end int"
+
+
 def repeated(docs: DataFrame, run: int = RUN, words: int = WORDS, **columns: str) -> DataFrame:
     """(doc_id, start, end, first_doc): every repeated run but the first, and the document that keeps it."""
     rows = keyed_texts(docs, **columns).filter("doc_id is not null")
     schema = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
-    def every(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        found = [r[0] for text in part.column("text").to_pylist() for r in runs(text, run, words)]
-        return record(pa.schema([("h", pa.int64())]), _hashes(found)[0].view(np.int64)) if found else None
-
-    many = written(map_texts(rows, every, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "many")
-    marked = rows.sparkSession.sparkContext.broadcast(key_filter(many, "h", many.count()))
-
     def find(part: pa.RecordBatch) -> pa.RecordBatch | None:
         found = [(key, doc, s, e) for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True) for key, s, e in runs(text, run, words)]
         if not found:
             return None
         keys, doc, s, e = zip(*found, strict=True)
         h, g = _hashes(keys)
-        return record(schema, h.view(np.int64), g.view(np.int32), doc, s, e).filter(pa.array(passes(marked.value, h)))
+        return record(schema, h.view(np.int64), g.view(np.int32), doc, s, e)
+
+    every = written(map_texts(rows, find, RUNS), "runs")
+    many = written(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "many")
+    marked = rows.sparkSession.sparkContext.broadcast(key_filter(many, "h", many.count()))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(passes(marked.value, b.column("h").to_numpy().view(np.uint64))))
 
-    table = written(map_texts(rows, find, "h long, g int, doc_id long, start int, end int"), "runs")
+    table = written(every.mapInArrow(again, RUNS), "repeated")
+    drop_written(every)
     first = table.groupBy("h", "g").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g", "first")
     return join_unique(table, first, ["h", "g"]).filter(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", "end", F.col("first.doc_id").alias("first_doc"))
 
