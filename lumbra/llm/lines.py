@@ -180,19 +180,29 @@ def line_texts(rows: DataFrame, only: np.ndarray) -> DataFrame:
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str, fields: list[str]) -> Iterator[tuple]:
     """The complete groups of batches sorted by ``key``, many at a time: (key, *fields) arrays without a group cut in two."""
-    held = None
+    held: list[pa.RecordBatch] = []  # of one key
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple:
+        t = pa.Table.from_batches(parts)
+        return tuple(t.column(c).combine_chunks() for c in (key, *fields))
+
     for b in batches:
         if not b.num_rows:
             continue
-        t = pa.table(b)
-        t = t if held is None else pa.concat_tables([held, t])
-        k = t.column(key).to_numpy()
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        if held and k[0] == k[-1] == held[0].column(key)[0].as_py():
+            held.append(b)
+            continue
         last = int(np.searchsorted(k, k[-1], "left"))
-        if last:
-            yield tuple(t.slice(0, last).column(c).combine_chunks() for c in (key, *fields))
-        held = t.slice(last)
-    if held is not None:
-        yield tuple(held.column(c).combine_chunks() for c in (key, *fields))
+        if held and k[0] != held[0].column(key)[0].as_py() and not last:
+            yield whole(held)
+            held = []
+        elif last:
+            yield whole([*held, b.slice(0, last)])
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield whole(held)
 
 
 def _once(key: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -245,17 +255,13 @@ def buckets(rows: DataFrame) -> DataFrame:
     dealt = dealt_bands(rows, hot)
     schema = pa.schema([("bucket", pa.int64()), ("h", pa.int64())])
 
-    def different(batches):
-        """A line that several tasks sent comes several times, one behind the other."""
-        for b in batches:
-            once = _once(b.column("key").to_numpy(), b.column("h").to_numpy())
-            yield b if once.all() else b.filter(pa.array(once))
-
     def run(batches):
         seen: set[int] = set()
-        for key, h in _groups(different(batches), "key", ["h"]):
+        for key, h in _groups(batches, "key", ["h"]):
             key, h = key.to_numpy(), h.to_numpy()
-            once = _once(key, h)
+            order = np.lexsort((h, key))
+            key, h = key[order], h[order]
+            once = _once(key, h)  # a line comes once from each task that holds it
             key, h = key[once], h[once]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(first, len(key)))
@@ -270,7 +276,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             if take.any():
                 yield record(schema, np.repeat(name, size)[take].view(np.int64), h[take])
 
-    return dealt.repartition("key").sortWithinPartitions("key", "h").mapInArrow(run, "bucket long, h long").distinct()
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, h long").distinct()
 
 
 def forest(lines: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
