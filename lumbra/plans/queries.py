@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import scalar
-from ..functions.fulltext import fulltext_search
+from ..functions.fulltext import fulltext_search, simple
 from ..functions.vectors import vector_search
 from ..operators import export, ingest, judge, lookups, parse, reconcile, resolve, search
 from . import analog
@@ -220,18 +220,28 @@ def counts_fallback_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 # --- search: the benchmark's items are the queries, all documents the corpus
 
-_FIRST_WORD = f"(SELECT item_id, {TOKENS('text')}[1] AS word FROM benchmark)"
 _COS = "round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9)"
 _NEAR = lambda k: f"near AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS similarity FROM benchmark b JOIN embeddings q ON q.vec_id = b.item_id CROSS JOIN embeddings c QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, c.vec_id) <= {k})"
 _NEAR_DOCS = lambda k: _NEAR(k).replace("CROSS JOIN embeddings c", "CROSS JOIN (SELECT e.* FROM embeddings e JOIN documents ON doc_id = vec_id) c")
-_WORDS = lambda k: f"words AS (SELECT item_id AS query_id, doc_id AS id, count(*) * 0.1::DOUBLE AS fts_score FROM {_FIRST_WORD} w JOIN (SELECT doc_id, unnest({TOKENS('text')}) AS tok FROM documents) t ON tok = word GROUP BY item_id, doc_id QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY count(*) DESC, doc_id) <= {k})"
+# cover density: of each entry of a query's words the last occurrences of all words up to there; where the earliest of them moves on, a cover ends
+_DENSITY_OF = lambda asked: f"""asked AS ({asked}),
+toks AS (SELECT doc_id, {TOKENS('text')} AS dt FROM documents),
+found AS (SELECT item_id, doc_id, qt, dt FROM asked JOIN toks ON list_has_all(dt, qt)),
+entries AS (SELECT item_id, doc_id, pos, dt[pos] AS tok, row_number() OVER (PARTITION BY item_id, doc_id ORDER BY pos) AS nth, qt FROM (SELECT *, unnest(generate_series(1, len(dt))) AS pos FROM found) WHERE list_contains(qt, dt[pos])),
+grid AS (SELECT item_id, doc_id, pos, nth, term, max(CASE WHEN tok = term THEN nth END) OVER (PARTITION BY item_id, doc_id, term ORDER BY pos) AS last FROM (SELECT *, unnest(qt) AS term FROM entries)),
+ends AS (SELECT item_id, doc_id, pos, nth, CASE WHEN count(last) = count(*) THEN min(last) END AS begin FROM grid GROUP BY ALL),
+covers AS (SELECT *, lag(begin) OVER (PARTITION BY item_id, doc_id ORDER BY pos) AS before FROM ends),
+ranked AS (SELECT c.item_id, c.doc_id, sum(0.1::DOUBLE / (1 + (c.pos - b.pos) - (c.nth - b.nth))) AS score FROM covers c JOIN entries b ON b.item_id = c.item_id AND b.doc_id = c.doc_id AND b.nth = c.begin WHERE c.begin IS NOT NULL AND (c.before IS NULL OR c.begin > c.before) GROUP BY ALL)"""
+_DENSITY = _DENSITY_OF(f"SELECT item_id, list_distinct({TOKENS('text')}) AS qt FROM benchmark WHERE len({TOKENS('text')}) > 0")
+_PAIRS = _DENSITY_OF(f"SELECT item_id, list_distinct({TOKENS('item_id')}) AS qt FROM (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS item_id FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM (SELECT {TOKENS('text')} AS w FROM benchmark)))")
+_WORDS = lambda k: f"{_DENSITY}, words AS (SELECT item_id AS query_id, doc_id AS id, score AS fts_score FROM ranked QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {k})"
 _HYBRID = "hybrid AS (SELECT query_id, id, coalesce(similarity, 0) AS similarity, coalesce(fts_score, 0) AS fts_score, 0.7::DOUBLE * coalesce(similarity, 0) + 0.3::DOUBLE * coalesce(fts_score, 0) AS hybrid_score FROM near FULL OUTER JOIN words USING (query_id, id))"
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    word = F.get(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lit(0))
+    """All items with all their words."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), word.alias("query_text")).join(vectors, "query_id", "left")
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")).join(vectors, "query_id", "left")
 
 
 @query(f"WITH {_NEAR(15)} SELECT query_id, id, round(similarity, 6) AS similarity FROM near")
@@ -240,12 +250,22 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return vector_search(corpus, _asked(spark, d), 15).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
-@query(f"SELECT item_id AS query_id, doc_id AS id, round(count(*) * 0.1::DOUBLE, 6) AS fts_score FROM {_FIRST_WORD} w JOIN (SELECT doc_id, unnest({TOKENS('text')}) AS tok FROM documents) t ON tok = word GROUP BY ALL")
+@query(f"WITH {_DENSITY} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS fts_score FROM ranked")
 def fts_rank(spark: SparkSession, d: str) -> DataFrame:
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     return fulltext_search(corpus, _asked(spark, d)).select("query_id", "id", F.round("fts_score", 6).alias("fts_score"))
 
 
+@query(f"WITH {_PAIRS} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS fts_score FROM ranked")
+def fts_rank_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All neighbouring words of all items, as queries of two words with many covers."""
+    words = simple(F.col("text"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    asked = table(spark, d, "benchmark").select(words.alias("w")).filter("size(w) > 1").select(F.explode(pairs).alias("query_id")).distinct().withColumn("query_text", F.col("query_id"))
+    corpus = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return fulltext_search(corpus, asked).select("query_id", "id", F.round("fts_score", 6).alias("fts_score"))
+
+
 @query(f"SELECT item_id AS query_id, doc_id AS id FROM (SELECT item_id, list_distinct({TOKENS('text')}) AS qt FROM benchmark) JOIN (SELECT doc_id, list_distinct({TOKENS('text')}) AS dt FROM documents) ON list_has_all(dt, qt)")
 def fts_containment(spark: SparkSession, d: str) -> DataFrame:
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
