@@ -81,6 +81,12 @@ def normalize_text(s: pd.Series) -> pd.Series:
     return base.str.replace(r"[^\w\s|]", "", regex=True).str.replace(r"\s+", " ", regex=True).str.strip()
 
 
+@F.pandas_udf(StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    """Composed characters, so that equal letters are equal; null stays."""
+    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def specialty(normalized: Column) -> Column:
     """The first specialty one of whose keywords is a part of the normalised text, else null. Keywords with accents find nothing there."""
     out = F.lit(None).cast("string")

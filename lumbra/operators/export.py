@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..functions.scalar import color_hex, percent_text, week_number, week_text
+from ..functions.scalar import color_hex, nfc, percent_text, week_number, week_text
 
 
 def fold_aliases(counts: DataFrame, aliases: dict[str, str] | None = None, names: tuple[str, ...] = K.INSTITUTIONS) -> DataFrame:
@@ -27,7 +27,7 @@ def pivot_institutions(counts: DataFrame, key: str, names: tuple[str, ...] = K.I
 def curriculum_index(sheet: DataFrame) -> DataFrame:
     """(tema_key, subtema_key, week, position): the first row of each (tema, subtema) and of each tema. Rows without a week or tema don't count."""
     rows = sheet.withColumn("week", week_number(F.col("semana"))).filter("week is not null and length(trim(tema)) > 0")
-    low = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    low = lambda c: F.lower(F.trim(nfc(F.coalesce(F.col(c), F.lit("")))))
     keyed = rows.select(low("tema").alias("tema_key"), F.explode(F.array_distinct(F.array(low("subtema"), F.lit("")))).alias("subtema_key"), "week", "position")
     return keyed.groupBy("tema_key", "subtema_key").agg(F.min_by("week", "position").alias("week"), F.min("position").alias("position"))
 
@@ -35,7 +35,7 @@ def curriculum_index(sheet: DataFrame) -> DataFrame:
 def curriculum_place(rows: DataFrame, index: DataFrame) -> DataFrame:
     """``rows`` (row_idx, input_tema, normalized_tema, normalized_subtema) with week and position: by the input's topic, its tema, the matched topic, its tema, in this order."""
     parts = F.split("input_tema", r" \| ", 2)
-    low = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    low = lambda c: F.lower(F.trim(nfc(F.coalesce(c, F.lit("")))))
     it, isub = low(F.get(parts, F.lit(0))), low(F.get(parts, F.lit(1)))
     nt, ns = low(F.col("normalized_tema")), low(F.col("normalized_subtema"))
     none = F.lit("")

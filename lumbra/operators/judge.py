@@ -1,7 +1,8 @@
 """Review of weak matches by an injected judge.
 
-The judge is a function from an iterator of pandas batches (row_idx, prompt) to batches (row_idx, reply), a reply being the JSON of
-one verdict list as a model gives it; it runs in mapInPandas. A missing or unreadable verdict leaves its row as it was.
+The judge is a function from an iterator of pandas batches (batch, prompt) to batches (batch, reply); it runs in mapInPandas. A prompt holds ITEMS rows,
+numbered from 0 in order of row_idx; a reply is the JSON of a list of verdicts as a model gives it, each with its item's number. An item without a verdict,
+or all items of a reply that can't be read, count as confirmed without confidence, so their rows keep their match and score.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 from .. import constants as K
 from ..functions.scalar import clean_suggestion, color_hex, display, match_label, percent_text
 from ..schema import REPLY
+from .ingest import with_ids
 from .lookups import best_stats, exact_stats
 from .reconcile import RESULT, Base, _counts, _total
 from .search import search_topics
@@ -31,11 +33,23 @@ def weak_rows(done: DataFrame, threshold: float = K.JUDGE_THRESHOLD) -> DataFram
     return done.filter((F.col("match_score") < threshold) | (F.col("match_method") == K.NONE)).select("*", F.get(parts, F.lit(0)).alias("in_tema"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("in_subtema"))
 
 
+def _listed_candidates(rows: DataFrame, base: Base) -> DataFrame:
+    """Without an encoder: the full-text hit of the tema, then the five most popular rows below the current match's tema."""
+    texts = rows.select("row_idx", F.col("in_tema").alias("text")).filter("text <> ''")
+    one = texts.join(best_stats(texts, base.stats, base.analyzer, "text"), F.col("text") == F.col("query_text")).select("row_idx", F.lit(0).alias("ord"), "stat")
+    w = Window.partitionBy(F.lower("tema")).orderBy(F.desc("num_questions"), "id")
+    below = base.stats.filter("subtema is not null").withColumn("ord", F.row_number().over(w)).filter("ord <= 5").select(F.lower("tema").alias("tl"), "ord", F.struct("id", "institution", "ranking", "tema", "subtema", "num_questions", "cor_hex").alias("stat"))
+    more = rows.select("row_idx", F.lower("normalized_tema").alias("t")).join(below, F.col("t") == F.col("tl")).select("row_idx", "ord", "stat")
+    return one.unionByName(more).withColumn("rank", F.row_number().over(Window.partitionBy("row_idx").orderBy("ord"))).select("row_idx", "rank", "stat")
+
+
 def alternative_candidates(rows: DataFrame, base: Base) -> DataFrame:
     """(row_idx, rank, stat): up to CANDIDATES topics of the input's level, by popularity.
 
     Found by semantic search of the input's texts, by full text, and below the first four candidates' temas and the current one's; the first of
     each (tema, subtema) stays."""
+    if base.encoder is None:
+        return _listed_candidates(rows, base)
     eq = F.when(~F.lower("input_equivalencia").isin(F.lower("in_tema"), F.lower("in_subtema")), F.col("input_equivalencia"))
     sub = F.nullif("in_subtema", F.lit(""))
     tries = rows.select("row_idx", F.posexplode(F.array("in_tema", F.when(sub.isNotNull(), F.concat_ws(" ", "in_tema", sub)), sub, eq)).alias("ord", "text")).filter("text is not null and text <> ''")
@@ -74,23 +88,29 @@ def prompts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     return both.select("row_idx", F.concat_ws("\n", head, own, F.array_join(lines, "\n")).alias("prompt"))
 
 
-def verdicts(asked: DataFrame, judge: Judge) -> DataFrame:
-    """(row_idx, v): the verdict at the place of the row in its batch of ITEMS, or null. A reply that can't be read gives nulls."""
-    replies = asked.select("row_idx", "prompt").mapInPandas(judge, "row_idx long, reply string")
-    read = replies.select("row_idx", F.from_json("reply", REPLY).alias("r"))
-    return read.select("row_idx", F.get(F.filter("r.results", lambda x: F.coalesce(x["index"], F.lit(0)) == 0), F.lit(0)).alias("v"))
+def verdicts(asked: DataFrame, judge: Judge, items: int = ITEMS) -> DataFrame:
+    """(row_idx, v) of every row of (row_idx, prompt): the verdict with the row's number in its batch, the last if it is given twice."""
+    placed = with_ids(asked.withColumn("place", F.lit(None).cast("long")), "row_idx", -1, "place")
+    own = staged(placed.select("row_idx", "prompt", F.floor(F.col("place") / items).alias("batch"), (F.col("place") % items).cast("int").alias("item")))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("item", "prompt"))), lambda x: F.concat(F.lit("["), x["item"].cast("string"), F.lit("] "), x["prompt"]))
+    batches = own.groupBy("batch").agg(F.array_join(listed, "\n\n").alias("prompt"))
+    replies = batches.mapInPandas(judge, "batch long, reply string").select("batch", F.from_json("reply", REPLY).alias("r"))
+    said = F.element_at(F.filter("r.results", lambda x: x["index"] == F.col("item")), -1)
+    none = lambda why: F.struct(F.col("item").alias("index"), F.lit(True).alias("is_equivalent"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("suggested_match"), F.lit(why).alias("reasoning"))
+    found = F.when(F.size(F.filter("r.results", lambda x: x["index"] == F.col("item"))) > 0, said)
+    return own.join(staged(replies), "batch", "left").select("row_idx", F.coalesce(found, F.when(F.col("r.results").isNotNull(), none(K.NO_VERDICT)).otherwise(none(K.NO_REPLY))).alias("v"))
 
 
-def apply_judge(done: DataFrame, base: Base, judge: Judge, threshold: float = K.JUDGE_THRESHOLD) -> DataFrame:
+def apply_judge(done: DataFrame, base: Base, judge: Judge, threshold: float | None = None) -> DataFrame:
     """``done`` with reviewed rows: confirmed, replaced by a suggestion that exists at the input's level, or rejected; others as they were."""
     done = staged(done)
-    rows = weak_rows(done, threshold)
+    rows = weak_rows(done, base.settings.llm_judge_threshold if threshold is None else threshold)
     said = staged(verdicts(prompts(rows, alternative_candidates(rows, base)), judge))
-    both = rows.join(said, "row_idx").filter("v is not null").withColumns({"suggested": F.nullif(clean_suggestion(F.col("v.suggested_match")), F.lit("")), "confidence": F.coalesce("v.confidence", F.lit(0.0)), "why": F.coalesce("v.reasoning", F.lit(""))})
+    both = rows.join(said, "row_idx").withColumns({"suggested": F.nullif(clean_suggestion(F.col("v.suggested_match")), F.lit("")), "confidence": F.coalesce("v.confidence", F.lit(0.0)), "why": F.coalesce("v.reasoning", F.lit(""))})
     label = lambda s: match_label(F.lit(K.LLM), s)
 
     both = staged(both)
-    yes = both.filter("v.is_equivalent")
+    yes = both.filter("coalesce(v.is_equivalent, false)")
     own = exact_stats(yes.select("row_idx", F.col("normalized_tema").alias("tema"), F.col("normalized_subtema").alias("subtema")), base.stats).select("row_idx", F.col("stat").alias("found"))
     yes = yes.join(own, "row_idx").withColumns({"t": F.col("normalized_tema"), "s": F.coalesce("found.subtema", "normalized_subtema"), "new": F.greatest("confidence", "match_score")})
     yes = _counts(staged(yes), "t", "s", base).withColumn("q", F.when(F.size("qbi") > 0, F.col("qbi")).otherwise(F.col("questions_by_institution")))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.scalar import clean, color_hex, display, match_label, percent_text, split_topic, topic_text
 from ..functions.vectors import vector_search
+from ..settings import Settings
 from .lookups import exact_stats, institution_counts, subtemas_of
 from .resolve import resolve_subtema, resolve_tema, retry
 from .search import Encoder, retrieve
@@ -24,13 +25,14 @@ RESULT = ("row_idx", "input_tema", "input_equivalencia", "normalized_tema", "nor
 
 @dataclass(frozen=True)
 class Base:
-    """What rows are reconciled with: questions and stats have embeddings, stats_all has not."""
+    """What rows are reconciled with: questions and stats have embeddings, stats_all has not. Weights, threshold and number of retrieved questions are the settings'."""
 
     questions: DataFrame
     stats: DataFrame
     stats_all: DataFrame
-    encoder: Encoder
+    encoder: Encoder | None
     analyzer: str = "simple"
+    settings: Settings = Settings()
 
 
 def prepare(sheet: DataFrame) -> DataFrame:
@@ -45,7 +47,8 @@ def with_candidates(rows: DataFrame, base: Base) -> DataFrame:
     texts = rows.select(F.col("query").alias("text")).filter("text <> ''").distinct()
     asked = staged(texts.join(base.encoder(texts), "text").select(F.col("text").alias("query_id"), F.col("text").alias("query_text"), "embedding"))
     corpus = base.questions.select("id", F.concat_ws(" ", "tema_normalized", "subtema_normalized", "raw_text").alias("text"), "embedding")
-    hits = retrieve(corpus, asked, analyzer=base.analyzer)
+    own = base.settings
+    hits = retrieve(corpus, asked, own.retriever_top_k, own.similarity_threshold, alpha=own.hybrid_alpha, beta=own.hybrid_beta, analyzer=base.analyzer)
     named = hits.join(base.questions.select("id", "tema_normalized", "subtema_normalized"), "id")
     best = named.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.min_by(F.struct(F.col("tema_normalized").alias("t"), F.col("subtema_normalized").alias("s"), F.col("similarity").alias("sim")), "rank").alias("c"))
     out = rows.join(best, F.col("query") == F.col("query_id"), "left")
