@@ -15,7 +15,7 @@ from .. import constants as K
 from ..functions import scalar
 from ..functions.fulltext import fulltext_search, simple
 from ..functions.vectors import vector_search
-from ..operators import export, ingest, judge, lookups, parse, reconcile, resolve, search
+from ..operators import export, ingest, judge, lookups, parse, reconcile, resolve, search, vector_index
 from . import analog
 from .analog import table
 
@@ -252,6 +252,27 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return vector_search(corpus, _asked(spark, d), 15).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
+def _every_20th(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as queries those whose id is divisible by 20."""
+    corpus = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return corpus, corpus.filter("id % 20 = 0").withColumnRenamed("id", "query_id")
+
+
+@query()
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 nearest by the inverted-file index."""
+    corpus, asked = _every_20th(spark, d)
+    return vector_index.index_search(vector_index.build(corpus), asked, 10).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the exact search's answers the index finds."""
+    corpus, asked = _every_20th(spark, d)
+    index = vector_index.build(corpus)
+    return vector_index.recall_of(vector_index.index_search(index, asked, 10), vector_search(corpus, asked, 10)).withColumn("probes", F.lit(index.probes))
+
+
 @query(f"WITH {_DENSITY} SELECT item_id AS query_id, doc_id AS id, round(score, 6) AS fts_score FROM ranked")
 def fts_rank(spark: SparkSession, d: str) -> DataFrame:
     corpus = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
