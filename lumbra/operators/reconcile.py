@@ -46,9 +46,10 @@ def with_candidates(rows: DataFrame, base: Base) -> DataFrame:
     """``rows`` with the best retrieved question's tema, subtema and similarity, and the number of retrieved questions."""
     texts = rows.select(F.col("query").alias("text")).filter("text <> ''").distinct()
     asked = staged(texts.join(base.encoder(texts), "text").select(F.col("text").alias("query_id"), F.col("text").alias("query_text"), "embedding"))
-    corpus = base.questions.select("id", F.concat_ws(" ", "tema_normalized", "subtema_normalized", "raw_text").alias("text"), "embedding")
+    stored = [c for c in ("tokens",) if c in base.questions.columns]
+    corpus = base.questions.select("id", F.concat_ws(" ", "tema_normalized", "subtema_normalized", "raw_text").alias("text"), "embedding", *stored)
     own = base.settings
-    hits = retrieve(corpus, asked, own.retriever_top_k, own.similarity_threshold, alpha=own.hybrid_alpha, beta=own.hybrid_beta, analyzer=base.analyzer)
+    hits = retrieve(corpus, asked, own.retriever_top_k, own.similarity_threshold, alpha=own.hybrid_alpha, beta=own.hybrid_beta, analyzer=base.analyzer, tokens_col=stored[0] if stored else None)
     named = hits.join(base.questions.select("id", "tema_normalized", "subtema_normalized"), "id")
     best = named.groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"), F.min_by(F.struct(F.col("tema_normalized").alias("t"), F.col("subtema_normalized").alias("s"), F.col("similarity").alias("sim")), "rank").alias("c"))
     out = rows.join(best, F.col("query") == F.col("query_id"), "left")

@@ -20,13 +20,13 @@ Encoder = Callable[[DataFrame], DataFrame]
 OVERFETCH = 3
 
 
-def hybrid_search(corpus: DataFrame, queries: DataFrame, k: int = 5, alpha: float = K.ALPHA, beta: float = K.BETA, analyzer: str = "simple", id_col: str = "id", text_col: str = "text", key: str = "query_id", index: Index | None = None) -> DataFrame:
+def hybrid_search(corpus: DataFrame, queries: DataFrame, k: int = 5, alpha: float = K.ALPHA, beta: float = K.BETA, analyzer: str = "simple", id_col: str = "id", text_col: str = "text", key: str = "query_id", index: Index | None = None, tokens_col: str | None = None) -> DataFrame:
     """(key, id, similarity, fts_score, hybrid_score), k of each query. ``queries``: key, query_text, embedding.
 
     A document outside the similar ones of a query counts similarity 0, whatever its own would be; likewise for words.
-    With an ``index`` of the corpus the vector branch is approximate."""
+    With an ``index`` of the corpus the vector branch is approximate; with ``tokens_col`` the corpus's stored tokens are searched."""
     near = index_search(index, queries, OVERFETCH * k, key) if index else vector_search(corpus.select(id_col, "embedding"), queries, OVERFETCH * k, id_col, key)
-    texts = _best(fulltext_search(corpus.select(id_col, text_col), queries, analyzer, id_col, text_col, key), key, "fts_score", OVERFETCH * k)
+    texts = _best(fulltext_search(corpus.drop("embedding"), queries, analyzer, id_col, text_col, key, tokens_col=tokens_col), key, "fts_score", OVERFETCH * k)
     return merge_branches(near, texts, k, alpha, beta, key)
 
 
