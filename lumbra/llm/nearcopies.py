@@ -1,15 +1,19 @@
 """Near-duplicate documents by exact Jaccard similarity of word shingles.
 
-A text is the set of its shingles of WORDS words; equal sets are one vertex. Candidates come from prefix filtering, which misses no pair: put the
-shingles of all sets in one order; then two sets of similarity THRESHOLD or more share one among the first n - ceil(THRESHOLD n) + 1 of
-each. The order is by hash, with shingles that a sample finds common behind the others; whatever the sample finds, the result is the same.
-Positions and sizes rule out pairs that can't be similar enough, and the exact similarity of all others decides.
+A text is the set of its shingles of WORDS words; equal sets are one vertex, with the SimHash fingerprint of its shingles.
 
-A prefix shingle with up to SMALL sets gives all its pairs. One with more gives the pairs with a few hubs first; after their verification
-only pairs of different components are left to compare, so a large group of copies costs a multiple of its size, not its square.
+Candidates are the sets whose fingerprints differ in PROBED bits at most, found by the generalised pigeonhole of :mod:`simhash` (grouped bits,
+thresholds by dynamic programming). No pair within that radius is missed: sets are dealt out by classes of size, those of a class and its neighbours
+meet as pairs of blocks, and every block is probed with all signatures of the other. The exact similarity of the texts decides.
 
-The SimHash fingerprints of the two sets must also differ in RADIUS bits at most, if both have LEAST shingles or more. Similar sets of
-that size differ in 10 bits in the mean, with a deviation below 3, so five deviations are left; most others are ruled out before any text is moved.
+Similar sets differ in about 10 bits, with a deviation below 3, so some lie beyond any radius that can be probed. Only these pairs are left to
+prefix filtering, which misses none: put the shingles of all sets in one order; then two sets of similarity THRESHOLD or more share one among
+the first n - ceil(THRESHOLD n) + 1 of each. The order is by hash, with shingles that a sample finds common behind the others; whatever the sample
+finds, the result is the same. Positions and sizes rule out pairs that can't be similar enough; so do fingerprints that differ in over RADIUS bits, if both sets
+have LEAST shingles or more: that is five deviations off.
+
+A fingerprint, or a prefix shingle, with up to SMALL sets near it gives all its pairs. One with more gives the pairs with a few hubs first; after their
+verification only pairs of different components are left to compare, so a large group of copies costs a multiple of its size, not its square.
 
 A text without words is the empty set, equal to others of its kind. Shorter texts are one shingle. Letters A-Z count as a-z, words end at ASCII white space.
 Null texts are empty. Of repeated rows one stays; rows with a null id stay and remove nothing. Extra columns are kept, whatever their names.
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, keyed_texts, map_texts, record, unused, written
 from .components import components
 from .lines import _groups, _mix
-from .simhash import majority
+from .simhash import Probe, majority, plan, sampled
 
 WORDS, THRESHOLD, SEED = 5, 0.8, 42
 #: A shingle is common above this many texts, as a sample of 1 in SAMPLED texts tells; the MOST_COMMON are known to all tasks.
@@ -38,6 +42,12 @@ COMMON, SAMPLED, MOST_COMMON = 64, 32, 2_000_000
 SMALL, HUBS = 16, 4
 #: Bits in which the fingerprints of similar sets differ at most, and the size from which that is asked.
 RADIUS, LEAST = 24, 32
+#: Bits within which fingerprints are probed for candidates, and the cost of a candidate in memory against that of a signature.
+PROBED, PROBED_COST = 13, 1.0
+#: Fingerprints from which the partitions and thresholds are planned.
+PLANNED = 1000
+#: Sets of a block at most, those below which blocks are not made smaller, and those of one that are probed at once.
+BLOCK, LEAST_BLOCK, AT_ONCE = 1 << 18, 1 << 12, 1 << 11
 #: Rows of one or two longs that are sent to all tasks at most; more are joined by a shuffle.
 SENT = 500_000
 _EPS = 1e-9
@@ -69,9 +79,14 @@ def prefix_length(n: int, threshold: float = THRESHOLD) -> int:
     return n - int(np.ceil(threshold * n - _EPS)) + 1 if n else 0
 
 
+def _differing(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The number of differing bits; of signed longs numpy would count those of the magnitude."""
+    return np.bitwise_count((fp[i] ^ fp[j]).view(np.uint64))
+
+
 def _possible(size: np.ndarray, pos: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
     """Whether sets i and j that share a shingle at these positions can be similar enough; size[i] <= size[j]."""
-    near = (size[i] < LEAST) | (np.bitwise_count(fp[i] ^ fp[j]) <= RADIUS)
+    near = (size[i] < LEAST) | (_differing(fp, i, j) <= RADIUS)
     si, sj, pi, pj = size[i], size[j], pos[i], pos[j]
     most = np.minimum(pi, pj) + 1 + np.minimum(si - pi - 1, sj - pj - 1)
     return near & (si >= t * sj - _EPS) & (pi <= si - np.ceil(2 * t / (1 + t) * si - _EPS)) & (most >= t / (1 + t) * (si + sj) - _EPS)
@@ -116,8 +131,134 @@ def sets(rows: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> D
     return map_texts(rows, run, "doc_id long, k long, h long, size int, fp long, prefix array<long>")
 
 
+def _beyond(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether fingerprints i and j are too far apart for probing."""
+    return _differing(fp, i, j) > PROBED
+
+
+def _classes(threshold: float):
+    """The class of a size: similar sets are in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.col("size").cast("double")) / (max(-np.log(threshold), 0.01) * (1 + 1e-6))).cast("int")
+
+
+def dealt(vertices: DataFrame, blocks: list[int], threshold: float) -> DataFrame:
+    """Each set once for each pair of blocks that it belongs to; ``blocks``: by class, their number."""
+    ends = np.cumsum([0, *blocks]).tolist()
+    at, c = F.array(*map(F.lit, ends)), _classes(threshold)
+    own = F.get(at, c) + F.pmod("h", F.get(at, c + 1) - F.get(at, c)).cast("int")
+    others = F.sequence(F.get(at, F.greatest(c - 1, F.lit(0))), F.get(at, F.least(c + 2, F.lit(len(blocks)))) - 1)
+    pair = F.least("block", "other").cast("long") * F.lit(1 << 31) + F.greatest("block", "other")
+    return vertices.withColumn("block", own).withColumn("other", F.explode(others)).withColumn("pair", pair).drop("other")
+
+
+def _probe(parts: list[tuple[list[int], int]], threshold: float, again: bool):
+    """Sorted (pair, block, h, size, fp) to candidates (a, b) within PROBED bits; a set with more than SMALL gives those with hubs, and itself as (a, null).
+    ``again``, with (many, component): of the sets marked as many, all candidates of other components."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def fewer(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each i the SMALL + 1 first j at most, their rank and their number."""
+        order = np.lexsort((j, i))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+        count = np.diff(np.append(first, len(i)))
+        rank = np.arange(len(i)) - np.repeat(first, count)
+        ok = rank <= SMALL
+        return i[ok], j[ok], rank[ok], np.repeat(count, count)[ok]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extra = ["many", "component"] if again else []
+        for arrays in _groups(batches, "pair", ["block", "h", "size", "fp", *extra]):
+            pair, block, h, size, fp, *more = (x.to_numpy(zero_copy_only=False) for x in arrays)
+            fp = fp.view(np.uint64)
+            first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            for s, e in zip(first.tolist(), np.append(first[1:], len(pair)).tolist(), strict=True):
+                x, y = divmod(int(pair[s]), 1 << 31)
+                left, right = (s + np.flatnonzero(block[s:e] == z) for z in (x, y))
+                if not len(left) or not len(right):
+                    continue
+                right = right[np.argsort(_mix(h[right].view(np.uint64)), kind="stable")]  # hubs first, the same for all
+                place = np.arange(len(left))
+                if x == y:
+                    left = right
+                if again:
+                    place = place[more[0][left]]
+                held = Probe(fp[right], parts, PROBED) if len(place) else None
+                for at in range(0, len(place), AT_ONCE):
+                    own = place[at : at + AT_ONCE]
+                    is_, js, n = [], [], 0
+                    for i, j in held.near(fp[left[own]]):
+                        i = own[i]
+                        p, q = left[i], right[j]
+                        ok = np.minimum(size[p], size[q]) >= threshold * np.maximum(size[p], size[q]) - _EPS
+                        if x == y:
+                            ok &= j < i
+                        if again:
+                            ok &= more[1][p] != more[1][q]
+                        is_.append(i[ok])
+                        js.append(j[ok])
+                        n += len(is_[-1])
+                        if n > Probe.LIMIT:
+                            i, j = np.concatenate(is_), np.concatenate(js)
+                            if again:
+                                yield record(schema, np.minimum(h[left[i]], h[right[j]]), np.maximum(h[left[i]], h[right[j]]))
+                                is_, js, n = [], [], 0
+                            else:
+                                i, j, *_ = fewer(i, j)
+                                is_, js, n = [i], [j], 0
+                    if not is_ or not len(i := np.concatenate(is_)):
+                        continue
+                    j = np.concatenate(js)
+                    if not again:
+                        i, j, rank, count = fewer(i, j)
+                        many = np.unique(i[count > SMALL])
+                        ok = (count <= SMALL) | (rank < HUBS)
+                        i, j = i[ok], j[ok]
+                        if len(many):
+                            yield record(schema, h[left[many]], pa.nulls(len(many), pa.int64()))
+                    yield record(schema, np.minimum(h[left[i]], h[right[j]]), np.maximum(h[left[i]], h[right[j]]))
+
+    return run
+
+
+def _meeting(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Without the (a, b) whose prefixes share nothing, which can't be similar; no text is moved for these."""
+    both = pairs
+    for c in ("a", "b"):
+        both = both.join(vertices.select(F.col("h").alias(c), F.col("prefix").alias(f"prefix_{c}")), c)
+    return both.filter(F.arrays_overlap("prefix_a", "prefix_b")).select("a", "b")
+
+
+def probed(vertices: DataFrame, rows: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): set hashes that connect all similar sets whose fingerprints differ in PROBED bits at most."""
+    spark = rows.sparkSession
+    own = vertices.filter("size > 0").select("h", "size", "fp")
+    counts = {c: n for c, n in own.groupBy(_classes(threshold).alias("c")).count().collect()}  # by the logarithm of a size: a few dozen
+    n = sum(counts.values())
+    most = min(BLOCK, max(LEAST_BLOCK, n // 16))
+    blocks = [-(-counts.get(c, 1) // most) for c in range(max(counts, default=0) + 1)]
+    parts = plan(sampled(own, n, PLANNED), min(n, most), PROBED, PROBED_COST)
+    tasks = sum(b * (b + 1) // 2 + b * after for b, after in zip(blocks, [*blocks[1:], 0], strict=True))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tasks, 2000))
+
+    def candidates(sets: DataFrame, again: bool) -> DataFrame:
+        bound_batches(spark)
+        return dealt(sets, blocks, threshold).repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(_probe(parts, threshold, again), "a long, b long")
+
+    found = written(candidates(own, False), "probed")
+    pairs = written(found.filter("b is not null").distinct(), "pairs")
+    near = written(verified(written(_meeting(pairs, vertices), "meeting"), vertices, rows, words, threshold), "links")
+    many = found.filter("b is null").select(F.col("a").alias("h"), F.lit(True).alias("many")).distinct()
+    if many.isEmpty():
+        return near
+    named = components(near).withColumnRenamed("node", "h")
+    marked = own.join(many, "h", "left").join(named, "h", "left").withColumn("many", F.coalesce("many", F.lit(False))).withColumn("component", F.coalesce("component", "h"))
+    left = written(candidates(marked, True).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    return near.unionByName(written(verified(written(_meeting(left, vertices), "meeting"), vertices, rows, words, threshold), "links"))
+
+
 def _near(threshold: float):
-    """Sorted (token, size, h, pos, fp) to candidates (a, b, token); a larger group gives those with its hubs, and its token alone."""
+    """Sorted (token, size, h, pos, fp) to candidates (a, b, token) beyond PROBED bits; a larger group gives those with its hubs, and its token alone."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("token", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +282,7 @@ def _near(threshold: float):
                     right.append(np.maximum(hub, every))
             if left:
                 i, j = np.concatenate(left), np.concatenate(right)
-                ok = (i != j) & _possible(size, pos, fp, i, j, threshold)
+                ok = (i != j) & _beyond(fp, i, j) & _possible(size, pos, fp, i, j, threshold)
                 i, j = h[i[ok]], h[j[ok]]
                 pairs = np.unique(np.stack([np.minimum(i, j), np.maximum(i, j)], 1), axis=0)
                 if len(pairs):
@@ -154,7 +295,7 @@ def _near(threshold: float):
 
 
 def _across(threshold: float, limit: int = 50_000):
-    """Sorted (token, size, h, pos, fp, component) to the candidates (a, b) of different components."""
+    """Sorted (token, size, h, pos, fp, component) to the candidates (a, b) of different components beyond PROBED bits."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +312,7 @@ def _across(threshold: float, limit: int = 50_000):
                 for x in np.flatnonzero(~main).tolist():  # with all of the largest component, and the others behind it
                     with_ = every[(of != of[x]) & (main | (every - s > x))]
                     i, j = np.minimum(s + x, with_), np.maximum(s + x, with_)
-                    ok = _possible(size, pos, fp, i, j, threshold)
+                    ok = _beyond(fp, i, j) & _possible(size, pos, fp, i, j, threshold)
                     if ok.any():
                         a, b = h[i[ok]], h[j[ok]]
                         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
@@ -218,17 +359,29 @@ def verified(pairs: DataFrame, vertices: DataFrame, rows: DataFrame, words: int
 
 def links(vertices: DataFrame, rows: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): set hashes that connect all sets of the threshold's similarity or more."""
+    close = probed(vertices, rows, words, threshold)
+    return close.unionByName(distant(vertices, rows, close, words, threshold))
+
+
+def distant(vertices: DataFrame, rows: DataFrame, close: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): set hashes that connect the similar sets beyond PROBED bits which the links ``close`` leave apart."""
     spark = rows.sparkSession
     keys = vertices.select("h", "size", "fp", F.posexplode("prefix").alias("pos", "token"))
     order = ["token", "size", "h"]
     bound_batches(spark)
     found = written(keys.repartition("token").sortWithinPartitions(*order).mapInArrow(_near(threshold), "a long, b long, token long"), "candidates")
-    pairs = written(found.filter("a is not null").select("a", "b").distinct(), "pairs")
+    named = written(components(close), "components")
+    pairs = found.filter("a is not null").select("a", "b").distinct()
+    for c in ("a", "b"):
+        pairs = pairs.join(named.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+    pairs = written(pairs.filter("coalesce(of_a, a) <> coalesce(of_b, b)").select("a", "b"), "pairs")
     near = written(verified(pairs, vertices, rows, words, threshold), "links")
     large = written(found.filter("token is not null").select("token"), "large")
     if large.isEmpty():
         return near
-    named = components(near).withColumnRenamed("node", "h")
+    if not near.isEmpty():
+        named = components(close.unionByName(near))
+    named = named.withColumnRenamed("node", "h")
     left = keys.join(_sent(large), "token", "left_semi").join(named, "h", "left").withColumn("component", F.coalesce("component", "h"))
     bound_batches(spark)
     more = left.repartition("token").sortWithinPartitions(*order).mapInArrow(_across(threshold), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")

@@ -7,6 +7,7 @@ on the estimated cost of signatures and candidates, for 2 to 5 partitions, and t
 the radius agree up to t_i bits in some partition i, so probing each partition with all values within t_i finds every link.
 Fingerprints that share a bucket are verified by exact distance; a bucket gives the edges of a spanning forest, not all pairs, and
 a bucket above HOT rows is dealt out as pairs of blocks. Components follow from :mod:`components`.
+A wide radius has too many signatures to be sent about: there :class:`Probe` looks them up in memory, in pairs of blocks of bounded size.
 
 A text without words (null, empty, white space) has fingerprint zero. Rows with a null doc_id get a fingerprint and the component of
 the other rows that share it, or null. Repeated rows are one vertex. An empty table gives no rows.
@@ -123,8 +124,8 @@ def signatures(size: int, t: int) -> int:
     return out
 
 
-def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
-    """Dynamic programming: thresholds t_i = -1, 0, ... with sum(t_i + 1) = total of least cost; costs[i][t] for t >= 0."""
+def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]] | None:
+    """Dynamic programming: thresholds t_i = -1, 0, ... with sum(t_i + 1) = total of least cost; costs[i][t] for t >= 0. None if they can't reach the total."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for own in costs:
         new: dict[int, tuple[float, list[int]]] = {}
@@ -135,10 +136,10 @@ def allot(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
                     if used + k not in new or c < new[used + k][0]:
                         new[used + k] = (c, [*ts, k - 1])
         best = new
-    return best[total]
+    return best.get(total)
 
 
-def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]:
+def plan(sample: np.ndarray, n: int, radius: int, pair_cost: float = PAIR_COST) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition that is probed."""
     bits = bits_of(sample) if len(sample) else np.zeros((1, BITS), np.uint8)
     n = max(n, 1000)  # with next to no rows the fewest signatures are the cheapest
@@ -149,13 +150,21 @@ def plan(sample: np.ndarray, n: int, radius: int) -> list[tuple[list[int], int]]
         costs = []
         for g in groups:
             chance = odds(bits, g, min(most, 3))
-            costs.append([n * (1 + signatures(len(g), t)) + PAIR_COST * chance[t] * n * n / 2 for t in range(min(most, 3) + 1)])
-        cost, ts = allot(costs, radius + 1)
-        if found is None or cost < found[0]:
-            found = cost, [(g, t) for g, t in zip(groups, ts, strict=True) if t >= 0]
+            costs.append([n * (1 + signatures(len(g), t)) + pair_cost * chance[t] * n * n / 2 for t in range(min(most, 3) + 1)])
+        best = allot(costs, radius + 1)
+        if best and (found is None or best[0] < found[0]):
+            found = best[0], [(g, t) for g, t in zip(groups, best[1], strict=True) if t >= 0]
     return found[1]
 
 
+def sampled(vertices: DataFrame, n: int, most: int = SAMPLE) -> np.ndarray:
+    """The fingerprints of the bounded sample: those of least hash, the same on every run."""
+    share = min(1.0, 2 * most / max(n, 1))
+    order = F.xxhash64("fp").bitwiseAND(F.lit((1 << 31) - 1))
+    pick = vertices.withColumn("o", order).filter(F.col("o") < int(share * (1 << 31))) if share < 1 else vertices.withColumn("o", order)
+    return np.sort(np.array([r[0] for r in pick.orderBy("o", "fp").limit(most).select("fp").collect()], np.int64))
+
+
 # --- probing and verifying
 
 
@@ -166,6 +175,60 @@ def _masks(group: list[int], t: int) -> tuple[int, list[int]]:
     return signed(sum(one)), [signed(sum(c)) for k in range(t + 1) for c in combinations(one, k)]
 
 
+class Probe:
+    """The partitions of a plan over fingerprints that one task holds, for a radius whose signatures are looked up and not sent."""
+
+    #: Signatures and candidates that are at hand at once, about.
+    LIMIT = 1 << 18
+
+    def __init__(self, fps: np.ndarray, parts: list[tuple[list[int], int]], radius: int) -> None:
+        self.radius, self.parts = radius, []
+        for group, t in parts:
+            value = self.values(fps, group)
+            order = np.argsort(value, kind="stable")
+            first = np.searchsorted(value[order], np.arange((1 << len(group)) + 1))
+            one = [1 << k for k in range(len(group))]
+            flips = np.array([sum(c) for k in range(t + 1) for c in combinations(one, k)], np.int64)
+            mask = np.uint64(sum(1 << (BITS - 1 - b) for b in group))
+            self.parts.append((group, t, mask, flips, first, order, fps[order]))
+
+    @staticmethod
+    def values(fps: np.ndarray, group: list[int]) -> np.ndarray:
+        """The bits of the group as a number."""
+        out = np.zeros(len(fps), np.int64)
+        for b in group:
+            out = out << 1 | (fps >> np.uint64(BITS - 1 - b) & np.uint64(1)).astype(np.int64)
+        return out
+
+    def near(self, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All places (i, j) at which own[i] and a held fingerprint j differ in ``radius`` bits at most, each once, in slices."""
+        for k, (group, _, _, flips, first, order, fps) in enumerate(self.parts):
+            value = self.values(own, group)
+            step = max(1, self.LIMIT // max(1, len(own)))
+            for f in range(0, len(flips), step):
+                probes = flips[f : f + step]
+                key = (value[:, None] ^ probes[None]).ravel()
+                start = first[key]
+                count = first[key + 1] - start
+                some = np.flatnonzero(count)
+                row, start, count = some // len(probes), start[some], count[some]
+                ends = np.cumsum(count)
+                at = 0
+                while at < len(some):
+                    done = int(ends[at - 1]) if at else 0
+                    to = max(at + 1, int(np.searchsorted(ends, done + self.LIMIT, "right")))
+                    n = count[at:to]
+                    i = np.repeat(row[at:to], n)
+                    j = np.arange(len(i)) + np.repeat(start[at:to] - (ends[at:to] - n - done), n)
+                    differ = own[i] ^ fps[j]
+                    ok = np.flatnonzero(np.bitwise_count(differ) <= self.radius)
+                    for _, t, mask, *_ in self.parts[:k]:  # pairs of an earlier partition came with that
+                        ok = ok[np.bitwise_count(differ[ok] & mask) > t]
+                    if len(ok):
+                        yield i[ok], order[j[ok]]
+                    at = to
+
+
 def spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """The edges of a spanning forest of all links between the given fingerprints: every one is compared with all that its tree has not reached yet."""
     left = np.arange(len(fps))
@@ -264,13 +327,8 @@ def _verify(radius: int, small: int = 24):
 def links(vertices: DataFrame, radius: int = 4) -> DataFrame:
     """Distinct (fp, rep) to edges (a, b) of reps that connect all fingerprints within the radius of each other."""
     spark = vertices.sparkSession
-    # the bounded sample: those of least hash, the same on every run
     n = vertices.count()
-    share = min(1.0, 2 * SAMPLE / max(n, 1))
-    order = F.xxhash64("fp").bitwiseAND(F.lit((1 << 31) - 1))
-    pick = vertices.withColumn("o", order).filter(F.col("o") < int(share * (1 << 31))) if share < 1 else vertices.withColumn("o", order)
-    sample = np.array([r[0] for r in pick.orderBy("o", "fp").limit(SAMPLE).select("fp").collect()], np.int64)
-    probes = [(*_masks(g, t),) for g, t in plan(np.sort(sample), n, radius)]
+    probes = [(*_masks(g, t),) for g, t in plan(sampled(vertices, n), n, radius)]
     key = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(F.lit(flip)).alias("value"), F.lit(flip == 0).alias("own")) for k, (mask, flips) in enumerate(probes) for flip in flips])
     rows = vertices.filter("rep is not null").select("fp", "rep", F.explode(key).alias("k")).select("k.part", "k.value", "k.own", "fp", "rep")
     # a bucket counts if it has an owner of the value and another row
@@ -299,8 +357,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near-duplicates by a similarity of word shingles: of each component one row of the text with the smallest doc_id stays.
 
-    64 bits can't tell a similarity of 0.8: such texts differ in about 10, and probing every fingerprint within 14 costs more than all else. So
-    candidates come from prefix filtering, fingerprints rule most of them out, and the exact similarity decides (:mod:`nearcopies`)."""
+    Candidates are the fingerprints within a wide radius, by the same plan of partitions and thresholds; the exact similarity decides. The few similar
+    texts beyond that radius come from prefix filtering, so that none is missed (:mod:`nearcopies`)."""
     from .nearcopies import keep_first as kept
 
     return kept(docs, words, similarity, id_col, text_col)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lumbra.llm import nearcopies
+from lumbra.llm import nearcopies, simhash
 from lumbra.llm.lines import _mix
 from lumbra.llm.simhash import majority
 
@@ -71,6 +71,51 @@ def test_stage_keeps_what_all_pairs_keep(spark, monkeypatch, small):
     assert sum(i is None for i, _ in found) == 2
 
 
+def near_sets(texts):
+    """The pairs of different sets that are similar and whose fingerprints differ in 13 bits at most."""
+    sets = {nearcopies.shingles(t.encode()).tobytes(): nearcopies.shingles(t.encode()) for t in texts}
+    hashes, sets = list(sets), list(sets.values())
+    fps = [majority(x) for x in sets]
+    return {(hashes[x], hashes[y]) for x in range(len(sets)) for y in range(x) if nearcopies.similar(sets[x], sets[y]) and (fps[x] ^ fps[y]).bit_count() <= 13}
+
+
+@pytest.mark.parametrize("small, block", [(16, 1 << 12), (2, 16)])
+def test_candidates_come_from_fingerprints(spark, monkeypatch, small, block):
+    """Without prefix filtering all similar texts within the probed radius are still found."""
+    monkeypatch.setattr(nearcopies, "SMALL", small)
+    monkeypatch.setattr(nearcopies, "LEAST_BLOCK", block, raising=False)
+    monkeypatch.setattr(nearcopies, "_near", lambda threshold: lambda batches: iter(()))
+    rows = [(i, t or "") for i, t in sample(np.random.default_rng(5)) if i is not None]
+    pairs = near_sets([t for _, t in rows])
+    assert len(pairs) > 50
+    least = {}
+    for i, t in sorted(rows):
+        least.setdefault(nearcopies.shingles(t.encode()).tobytes(), i)
+    label = {h: i for h, i in least.items()}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    found = corpus_pipeline.dedup_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in found) == sorted(set(label.values()))
+
+
+def test_sign_bit_is_one_bit():
+    fp = np.array([0, -(2**63) + 3], np.int64)
+    i, j = np.array([0]), np.array([1])
+    assert nearcopies._possible(np.array([40, 40]), np.array([0, 0]), fp, i, j, 0.8)[0]
+
+
+def test_probes_meet_all_within_the_radius():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64 - 1, 200, dtype=np.uint64)
+    fps = np.concatenate([base ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (k, 200)).astype(np.uint64), axis=0) for k in (1, 5, 10, 13, 15)])
+    for n in (1000, 10**5):
+        probe = simhash.Probe(fps, simhash.plan(np.sort(fps.view(np.int64)), n, 13, 1.0), 13)
+        found = [p for i, j in probe.near(fps[:300]) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        want = np.argwhere(np.bitwise_count(fps[:300, None] ^ fps[None]) <= 13)
+        assert sorted(found) == sorted(map(tuple, want.tolist()))
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(2)
     for _ in range(2000):
