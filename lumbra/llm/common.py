@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -19,6 +21,8 @@ SPACE = " \t-\r"
 WORD = "[^ \t-\r]+"
 #: Text bytes that a Python worker handles at once, and at most in an Arrow batch.
 CHUNK, BATCH = 1 << 20, 2 << 20
+#: Seconds after which a task gives back free memory again.
+PAUSE = 1.0
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,16 +55,43 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             yield batch.slice(at)
 
 
+def give_back() -> None:
+    """Returns to the system what this process's allocators hold and nothing uses."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+        trim(0)
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow in bounded batches. A Python worker outlives its task and waits beside the workers of later stages, so free memory is given back at the task's end, and meanwhile."""
+    bound_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fed() -> Iterator[pa.RecordBatch]:
+            last = time.monotonic()
+            for b in batches:
+                if time.monotonic() - last > PAUSE:
+                    give_back()
+                    last = time.monotonic()
+                yield b
+
+        try:
+            yield from fn(fed())
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_texts(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: T.StructType | str) -> DataFrame:
     """Applies ``fn`` to slices of bounded size, in a narrow stage."""
-    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             if (out := fn(part)) is not None and out.num_rows:
                 yield out
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -98,14 +129,15 @@ HOT_ROWS = 1000
 def join_unique(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key at most; both are read more than once, so they should be written tables or cheap to make of such.
 
-    No task gathers a hot key: the few rows of ``table`` for hot keys are sent to all tasks, whatever the size of the data."""
+    No task gathers a hot key: the few rows of ``table`` for hot keys are sent to all tasks, whatever the size of the data. They go as an Arrow table:
+    from rows, createDataFrame would start Python workers of another kind on every executor, which stay."""
     keys = list(keys)
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     least = max(HOT_ROWS, 4 * rows.count() // parts)
-    hot = counts.filter(F.col("n") > least).select(*keys).collect()  # fewer than parts / 4 rows
-    if not hot:
+    hot = counts.filter(F.col("n") > least).select(*keys).toArrow()  # fewer than parts / 4 rows
+    if not hot.num_rows:
         return rows.join(table, keys, how)
     hot = F.broadcast(spark.createDataFrame(hot, rows.select(*keys).schema))
     sent = F.broadcast(hot.join(table, keys, how))

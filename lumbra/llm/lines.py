@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, join_unique, key_filter, keyed_texts, map_texts, passes, record, unused, written
+from .common import chunks, join_unique, key_filter, keyed_texts, map_arrow, map_texts, passes, record, unused, written
 from .components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -276,7 +276,7 @@ def buckets(rows: DataFrame) -> DataFrame:
             if take.any():
                 yield record(schema, np.repeat(name, size)[take].view(np.int64), h[take])
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "bucket long, h long").distinct()
+    return map_arrow(dealt.repartition("key").sortWithinPartitions("key"), run, "bucket long, h long").distinct()
 
 
 def forest(lines: list[str], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
@@ -354,8 +354,7 @@ def links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if found:
                 yield record(schema, *zip(*found, strict=True))
 
-    bound_batches(rows.sparkSession)
-    return members.join(texts, "h").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, LINKS)
+    return map_arrow(members.join(texts, "h").repartition("bucket").sortWithinPartitions("bucket"), run, LINKS)
 
 
 def classes(found: DataFrame) -> DataFrame:
@@ -392,8 +391,6 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     own, gone = unused(columns, "__id", "__gone")
     cut = removed(docs, id_col=id_col, text_col=text_col, **options).groupBy(F.col("doc_id").alias(own)).agg(F.collect_list("no").alias(gone))
     joined = docs.join(cut, docs[id_col].cast("long") == F.col(own), "left").select(*[docs[c] for c in columns], gone)
-    bound_batches(docs.sparkSession)
-    out_schema = docs.schema
 
     def run(batches):
         for whole in batches:
@@ -406,4 +403,4 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
                     texts.append(text)
                 yield b.drop_columns([gone]).set_column(columns.index(text_col), text_col, pa.array(texts, pa.string()))
 
-    return joined.mapInArrow(run, out_schema)
+    return map_arrow(joined, run, docs.schema)

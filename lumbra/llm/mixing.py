@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -45,7 +45,8 @@ def ranked(df: DataFrame, by: str) -> DataFrame:
     for p, count in sorted(dealt.groupBy(part.alias("p")).count().collect()):  # a row for each partition
         starts.append((p, n))
         n += count
-    start = F.broadcast(df.sparkSession.createDataFrame(starts, "__p int, __start long"))
+    places = pa.table({"__p": pa.array([p for p, _ in starts], pa.int32()), "__start": pa.array([s for _, s in starts], pa.int64())})
+    start = F.broadcast(df.sparkSession.createDataFrame(places))
     return dealt.join(start, part == F.col("__p")).withColumn("__rank", F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__start", "__m")
 
 
@@ -119,8 +120,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), epochs: float = 3
     return both.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("part")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"), "part", *[F.col(f"`__k_{c}`").alias(f"k_{c}") for c in keep])
 
 
-@F.pandas_udf(StringType())
-def _leading(text: pd.Series, words: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def _leading(text: pa.Array, words: pa.Array) -> pa.Array:
     """The text up to the end of its n-th word."""
     word = re.compile(WORD)
 
@@ -130,7 +131,7 @@ def _leading(text: pd.Series, words: pd.Series) -> pd.Series:
                 return t[: m.end()]
         return t
 
-    return pd.Series([lead(t, n) for t, n in zip(text, words, strict=True)], dtype=object)
+    return pa.array([lead(t, n) for t, n in zip(text.to_pylist(), words.to_pylist(), strict=True)], pa.string())
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, keyed_texts, map_texts, record, unused, written
+from .common import keyed_texts, map_arrow, map_texts, record, unused, written
 from .components import components
 from .lines import _groups, _mix
 from .simhash import Probe, majority, plan, sampled
@@ -242,8 +242,7 @@ def probed(vertices: DataFrame, rows: DataFrame, words: int = WORDS, threshold:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tasks, 2000))
 
     def candidates(sets: DataFrame, again: bool) -> DataFrame:
-        bound_batches(spark)
-        return dealt(sets, blocks, threshold).repartition(tasks, "pair").sortWithinPartitions("pair").mapInArrow(_probe(parts, threshold, again), "a long, b long")
+        return map_arrow(dealt(sets, blocks, threshold).repartition(tasks, "pair").sortWithinPartitions("pair"), _probe(parts, threshold, again), "a long, b long")
 
     found = written(candidates(own, False), "probed")
     pairs = written(found.filter("b is not null").distinct(), "pairs")
@@ -353,8 +352,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, rows: DataFrame, words: int
             if found:
                 yield record(schema, *zip(*found, strict=True))
 
-    bound_batches(rows.sparkSession)
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return map_arrow(joined.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
 def links(vertices: DataFrame, rows: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -365,11 +363,9 @@ def links(vertices: DataFrame, rows: DataFrame, words: int = WORDS, threshold: f
 
 def distant(vertices: DataFrame, rows: DataFrame, close: DataFrame, words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): set hashes that connect the similar sets beyond PROBED bits which the links ``close`` leave apart."""
-    spark = rows.sparkSession
     keys = vertices.select("h", "size", "fp", F.posexplode("prefix").alias("pos", "token"))
     order = ["token", "size", "h"]
-    bound_batches(spark)
-    found = written(keys.repartition("token").sortWithinPartitions(*order).mapInArrow(_near(threshold), "a long, b long, token long"), "candidates")
+    found = written(map_arrow(keys.repartition("token").sortWithinPartitions(*order), _near(threshold), "a long, b long, token long"), "candidates")
     named = written(components(close), "components")
     pairs = found.filter("a is not null").select("a", "b").distinct()
     for c in ("a", "b"):
@@ -383,8 +379,7 @@ def distant(vertices: DataFrame, rows: DataFrame, close: DataFrame, words: int =
         named = components(close.unionByName(near))
     named = named.withColumnRenamed("node", "h")
     left = keys.join(_sent(large), "token", "left_semi").join(named, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    bound_batches(spark)
-    more = left.repartition("token").sortWithinPartitions(*order).mapInArrow(_across(threshold), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = map_arrow(left.repartition("token").sortWithinPartitions(*order), _across(threshold), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(more, "pairs")
     return near.unionByName(written(verified(more, vertices, rows, words, threshold), "links"))
 

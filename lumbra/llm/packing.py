@@ -32,7 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import bound_batches, chunks, keyed_texts, record
+from .common import chunks, keyed_texts, map_arrow, record
 
 CAPACITY = 2048
 END = 1
@@ -296,7 +296,6 @@ _NAMES = re.findall(r"(\w+) long", PIECES)
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """A row for each piece; ``with_ids`` adds the piece's ids."""
     path = path or tokenizer_path()
-    bound_batches(docs.sparkSession)
     schema = pa.schema([*((n, pa.int64()) for n in _NAMES), *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,4 +327,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
         if rows:
             yield flush()
 
-    return keyed_texts(docs, id_col, text_col).mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
+    return map_arrow(keyed_texts(docs, id_col, text_col), run, PIECES + (", ids array<long>" if with_ids else ""))

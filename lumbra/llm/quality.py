@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, chunks, key_filter, keyed_texts, map_texts, passes, record, unused
+from .common import chunks, key_filter, keyed_texts, map_arrow, map_texts, passes, record, unused
 
 NAMES = ("length", "upper", "digit", "space", "newline", "stop", "comma", "bang", "symbol", "bar", "other", "word_length", "word_spread", "distinct", "top_word", "top_pair", "line_length", "repeat_lines", "short_words", "stop_ratio")
 FEATURES = len(NAMES)
@@ -132,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
             if m[0, 0]:
                 yield record(out, np.full(m.size, c), np.arange(m.size), m.ravel())
 
-    found = rows.mapInArrow(sums, "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect()
+    found = map_arrow(rows, sums, "y int, at int, v double").groupBy("y", "at").agg(F.sum("v").alias("v")).collect()
     total = {c: np.zeros((FEATURES + 1) ** 2) for c in (0, 1)}
     for y, at, v in found:
         total[y][at] = v
@@ -165,5 +165,4 @@ def keep_good(docs: DataFrame, model: Discriminant, threshold: float = 0.3, text
             s = model.score(np.stack([statistics(t) for t in part.column(text).to_pylist()]))
             yield part.drop_columns([text]).filter(pa.array(s >= threshold))
 
-    bound_batches(docs.sparkSession)
-    return docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, docs.select(*columns).schema)
+    return map_arrow(docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit(""))), run, docs.select(*columns).schema)

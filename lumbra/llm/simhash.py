@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, keyed_texts, map_texts, record, written
+from .common import keyed_texts, map_arrow, map_texts, record, written
 from .components import components
 
 SEED = 42
@@ -326,7 +326,6 @@ def _verify(radius: int, small: int = 24):
 
 def links(vertices: DataFrame, radius: int = 4) -> DataFrame:
     """Distinct (fp, rep) to edges (a, b) of reps that connect all fingerprints within the radius of each other."""
-    spark = vertices.sparkSession
     n = vertices.count()
     probes = [(*_masks(g, t),) for g, t in plan(sampled(vertices, n), n, radius)]
     key = F.array(*[F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).bitwiseXOR(F.lit(flip)).alias("value"), F.lit(flip == 0).alias("own")) for k, (mask, flips) in enumerate(probes) for flip in flips])
@@ -340,9 +339,8 @@ def links(vertices: DataFrame, radius: int = 4) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
     )
     dealt = both.select("part", "value", "fp", "rep", F.explode(pairs).alias("p")).select("part", "value", "p.i", "p.j", "fp", "rep")
-    bound_batches(spark)
     keys = ["part", "value", "i", "j"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(radius), "a long, b long")
+    return map_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), _verify(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
