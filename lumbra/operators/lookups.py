@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.fulltext import fulltext_search
 from ..functions.scalar import color
+from .stage import staged
 
 STAT = ("id", "institution", "ranking", "tema", "subtema", "num_questions", "cor_hex")
 
@@ -93,20 +94,23 @@ def institution_counts(keys: DataFrame, stats_all: DataFrame, stats: DataFrame,
     """(tema, subtema, institution, num_questions, source) of distinct keys: from ``stats_all``, else ``stats``, else full text.
 
     A tema counts all its rows of both levels; a subtema takes its row of highest id. The first source with any row for a key serves the key whole."""
-    asked = keys.select("tema", "subtema").filter("tema is not null").distinct().withColumns({"k_t": F.lower("tema"), "k_s": F.lower("subtema")})
+    asked = staged(keys.select("tema", "subtema").filter("tema is not null").distinct().withColumns({"k_t": F.lower("tema"), "k_s": F.lower("subtema")}))
+    # the large tables are read once each; what is written has a row for each topic and institution
+    few = lambda table: staged(table.groupBy("tema", "subtema", "institution").agg(F.sum("num_questions").cast("long").alias("n"), F.max(F.struct("id", F.col("num_questions").cast("long").alias("n"))).alias("last")))
+    topics = few(stats)
+    every_topic = topics if stats_all is stats else few(stats_all)
 
     def exact(table: DataFrame, source: int) -> DataFrame:
-        small = lower_keys(table).groupBy("tema_lc", "subtema_lc", "institution").agg(F.sum("num_questions").cast("long").alias("total"), F.max_by("num_questions", "id").cast("long").alias("last"))
+        small = lower_keys(table).groupBy("tema_lc", "subtema_lc", "institution").agg(F.sum("n").alias("total"), F.max("last")["n"].alias("last"))
         below = asked.filter("k_s is not null").join(small, (F.col("k_t") == F.col("tema_lc")) & (F.col("k_s") == F.col("subtema_lc"))).select("tema", "subtema", "institution", F.col("last").alias("num_questions"))
         whole = small.groupBy("tema_lc", "institution").agg(F.sum("total").alias("num_questions"))
         level = asked.filter("k_s is null").join(whole, F.col("k_t") == F.col("tema_lc")).select("tema", "subtema", "institution", "num_questions")
         return below.unionByName(level).withColumn("source", F.lit(source))
 
-    topics = stats.groupBy("tema", "subtema", "institution").agg(F.sum("num_questions").cast("long").alias("n"))
     texts = topics.select("tema", "subtema").distinct().withColumns({"text": F.concat_ws(" ", "tema", "subtema"), "topic": F.struct("tema", "subtema")})
     hits = fulltext_search(texts, asked.select("tema").distinct().withColumn("query_text", F.col("tema")), analyzer, "topic", "text", "tema", "query_text", rank=False).select(F.col("tema").alias("asked"), F.col("id.tema").alias("t"), F.col("id.subtema").alias("s"))
     by_text = hits.join(topics, (F.col("t") == F.col("tema")) & F.col("s").eqNullSafe(F.col("subtema"))).groupBy("asked", "institution").agg(F.sum("n").alias("num_questions"))
     text = asked.join(by_text, F.col("tema") == F.col("asked")).select("tema", "subtema", "institution", "num_questions", F.lit(3).alias("source"))
-    every = exact(stats_all, 1).unionByName(exact(stats, 2)).unionByName(text)
-    first = every.groupBy("tema", "subtema").agg(F.min("source").alias("source"))
-    return every.alias("e").join(first.alias("f"), (F.col("e.tema") == F.col("f.tema")) & F.col("e.subtema").eqNullSafe(F.col("f.subtema")) & (F.col("e.source") == F.col("f.source"))).select("e.*")
+    every = exact(every_topic, 1).unionByName(exact(topics, 2)).unionByName(text)
+    first = F.min("source").over(Window.partitionBy("tema", "subtema"))
+    return every.withColumn("__first", first).filter("source = __first").drop("__first")

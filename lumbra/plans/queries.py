@@ -16,6 +16,7 @@ from ..functions import scalar
 from ..functions.fulltext import fulltext_search, simple
 from ..functions.vectors import vector_search
 from ..operators import export, ingest, judge, lookups, parse, reconcile, resolve, search, vector_index
+from ..operators.stage import staged
 from . import analog
 from .analog import table
 
@@ -215,7 +216,7 @@ SELECT tema, institution, n AS num_questions, CAST(source AS INTEGER) AS source
 def counts_fallback_cascade(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     keys = part.select("p_brand").union(part.select("p_name")).select(F.col("p_brand").alias("tema"), F.lit(None).cast("string").alias("subtema"))
-    own = analog.stats(spark, d)
+    own = staged(analog.stats(spark, d).select("id", "institution", "category", "tema", "subtema", "num_questions"))
     wide = own.filter("category <> 'SMALL' and tema <> 'Brand#7'")  # a table that knows less than the other
     return lookups.institution_counts(keys, wide, own).select("tema", "institution", "num_questions", "source")
 

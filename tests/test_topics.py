@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumbra import constants as K
-from lumbra.functions import fulltext, scalar, stemmer
+from lumbra.functions import fulltext, scalar, stemmer, vectors
 from lumbra.functions.vectors import vector_search
 from lumbra.operators import export, ingest, lookups, parse, search
 from lumbra.settings import Settings
@@ -155,3 +155,12 @@ def test_search_gives_plain_hits_and_moves_only_them(spark, monkeypatch):
         assert {(r.query_id, r.id.i): round(r.fts_score, 9) for r in hits.collect()} == want and want
         assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
         assert {(r.query_id, r.id.i) for r in fulltext.fulltext_search(corpus, queries, rank=False).collect()} == set(want)
+
+
+def test_counts_read_the_statistics_once(spark, stats):
+    """No plan of the counts reaches the table itself: a topic and institution are counted before."""
+    keys = spark.createDataFrame([("trauma", None), ("Trauma", "choque"), ("inicial", None)], "tema string, subtema string")
+    slow = stats.withColumn("num_questions", F.col("num_questions") + F.lit(0) * F.rand(7).cast("long"))
+    found = lookups.institution_counts(keys, slow, slow)
+    assert "rand(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.tema, r.source) for r in found.collect()} == {("trauma", 1), ("Trauma", 1), ("inicial", 3)}
