@@ -157,6 +157,24 @@ def test_search_gives_plain_hits_and_moves_only_them(spark, monkeypatch):
         assert {(r.query_id, r.id.i) for r in fulltext.fulltext_search(corpus, queries, rank=False).collect()} == set(want)
 
 
+def test_nearest_is_exact_with_ties_and_bounded(monkeypatch):
+    """Every row ties; what is held stays bounded, and the lowest ids win whatever the order and the batches."""
+    monkeypatch.setattr(vectors, "CELLS", 64)
+    for ids in (np.arange(500)[::-1], np.array([f"{i:03}" for i in range(500)], object)):
+        best, held = vectors.Nearest(3, 20), 0
+        for at in range(0, 500, 10):
+            best.add(np.ones((10, 1)), np.ones((1, 20)), ids[at : at + 10])
+            held = max(held, best.rows)
+        q, i, s = best.best()
+        assert held <= 2 * 3 * 20 + 64 and q.tolist() == np.repeat(np.arange(20), 3).tolist() and i.tolist() == sorted(ids)[:3] * 20
+    rng = np.random.default_rng(1)
+    rows, asked = vectors.unit(rng.normal(size=(300, 4))), vectors.unit(rng.normal(size=(17, 4)))
+    best = vectors.Nearest(5, 17)
+    for at in range(0, 300, 7):
+        best.add(rows[at : at + 7], asked.T, np.arange(300)[at : at + 7])
+    assert best.best()[1].reshape(17, 5).tolist() == np.argsort(-np.round(asked @ rows.T, 9), axis=1, kind="stable")[:, :5].tolist()
+
+
 def test_counts_read_the_statistics_once(spark, stats):
     """No plan of the counts reaches the table itself: a topic and institution are counted before."""
     keys = spark.createDataFrame([("trauma", None), ("Trauma", "choque"), ("inicial", None)], "tema string, subtema string")
