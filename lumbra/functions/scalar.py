@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from .. import constants as K
+from .batches import bound_batches
 
 _MISSING = ("", "nan", "none")
 
@@ -74,11 +77,20 @@ def display(tema: Column, subtema: Column) -> Column:
     return F.concat_ws(" | ", tema, subtema)
 
 
-@F.pandas_udf(StringType())
-def normalize_text(s: pd.Series) -> pd.Series:
-    """Lower case without accents and punctuation but for |, white space collapsed; null is empty."""
-    base = s.fillna("").str.strip().str.lower().map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
-    return base.str.replace(r"[^\w\s|]", "", regex=True).str.replace(r"\s+", " ", regex=True).str.strip()
+def _normalized(t: str | None) -> str:
+    base = "".join(c for c in unicodedata.normalize("NFKD", (t or "").strip().lower()) if not unicodedata.combining(c))
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s|]", "", base)).strip()
+
+
+@F.arrow_udf(StringType())
+def _normalize(s: pa.Array) -> pa.Array:
+    return pa.array([_normalized(t.as_py()) for t in s], pa.string())
+
+
+def normalize_text(c: Column) -> Column:
+    """Lower case without accents and punctuation but for |, white space collapsed; null is empty. Texts go to Python in batches of bounded bytes."""
+    bound_batches(SparkSession.active())
+    return _normalize(c)
 
 
 @F.pandas_udf(StringType())

@@ -175,6 +175,13 @@ def test_nearest_is_exact_with_ties_and_bounded(monkeypatch):
     assert best.best()[1].reshape(17, 5).tolist() == np.argsort(-np.round(asked @ rows.T, 9), axis=1, kind="stable")[:, :5].tolist()
 
 
+def test_long_texts_are_normalised_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "256m")
+    texts = spark.range(3).select(F.when(F.col("id") > 0, F.repeat(F.lit("Pâncreas, "), 10)).alias("t"))
+    assert {r[0] for r in texts.select(scalar.normalize_text(F.col("t"))).collect()} == {"", " ".join(["pancreas"] * 10)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+
+
 def test_counts_read_the_statistics_once(spark, stats):
     """No plan of the counts reaches the table itself: a topic and institution are counted before."""
     keys = spark.createDataFrame([("trauma", None), ("Trauma", "choque"), ("inicial", None)], "tema string, subtema string")
