@@ -8,6 +8,8 @@ or all items of a reply that can't be read, count as confirmed without confidenc
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,9 +49,18 @@ def alternative_candidates(rows: DataFrame, base: Base) -> DataFrame:
     """(row_idx, rank, stat): up to CANDIDATES topics of the input's level, by popularity.
 
     Found by semantic search of the input's texts, by full text, and below the first four candidates' temas and the current one's; the first of
-    each (tema, subtema) stays."""
+    each (tema, subtema) stays. Rows of equal inputs have equal candidates, which are found once."""
     if base.encoder is None:
         return _listed_candidates(rows, base)
+    inputs = ("in_tema", "in_subtema", "input_equivalencia", "normalized_tema")
+    asked = staged(rows.select(*inputs).distinct().withColumn("row_idx", F.monotonically_increasing_id()))
+    listed = _candidates(asked, base).groupBy("row_idx").agg(F.collect_list(F.struct("rank", "stat")).alias("c"))
+    found = staged(asked.join(listed, "row_idx").select(*[F.col(c).alias(f"__{c}") for c in inputs], "c"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in inputs]
+    return rows.select("row_idx", *inputs).join(found, reduce(and_, same)).select("row_idx", F.inline("c"))
+
+
+def _candidates(rows: DataFrame, base: Base) -> DataFrame:
     eq = F.when(~F.lower("input_equivalencia").isin(F.lower("in_tema"), F.lower("in_subtema")), F.col("input_equivalencia"))
     sub = F.nullif("in_subtema", F.lit(""))
     tries = rows.select("row_idx", F.posexplode(F.array("in_tema", F.when(sub.isNotNull(), F.concat_ws(" ", "in_tema", sub)), sub, eq)).alias("ord", "text")).filter("text is not null and text <> ''")

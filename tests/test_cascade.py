@@ -233,3 +233,16 @@ def test_portuguese_search(spark):
     corpus = spark.createDataFrame(docs, "id long, text string")
     got = fulltext.fulltext_search(corpus, spark.createDataFrame(asked, "query_id long, query_text string"), "portuguese")
     assert {(r.query_id, r.id): round(r.fts_score, 9) for r in got.select("query_id", "id", F.col("fts_score")).collect()} == want and want
+
+
+def test_candidates_of_equal_inputs_are_found_once(spark, tables, monkeypatch):
+    """Rows of one input, nulls among them, get the same candidates from one search."""
+    rows = judge.weak_rows(queries._done(spark, tables)).limit(1)
+    rows = rows.withColumn("input_equivalencia", F.lit(None).cast("string"))
+    many = rows.crossJoin(spark.range(40)).withColumn("row_idx", F.col("id").cast("int")).drop("id")
+    base = analog.base(spark, tables)
+    asked, whole = [], judge._candidates
+    monkeypatch.setattr(judge, "_candidates", lambda r, b: (asked.append(r.count()), whole(r, b))[1])
+    got = judge.alternative_candidates(many, base).select("row_idx", "rank", "stat.id").collect()
+    assert asked == [1] and {r.row_idx for r in got} == set(range(40))
+    assert len({tuple(sorted((r.rank, r.id) for r in got if r.row_idx == i)) for i in range(40)}) == 1
