@@ -78,7 +78,7 @@ def display(tema: Column, subtema: Column) -> Column:
 
 
 def _normalized(t: str | None) -> str:
-    base = "".join(c for c in unicodedata.normalize("NFKD", (t or "").strip().lower()) if not unicodedata.combining(c))
+    base = re.sub(r"[^\x00-\x7f]", lambda m: "" if unicodedata.combining(m[0]) else m[0], unicodedata.normalize("NFKD", (t or "").strip().lower()))
     return re.sub(r"\s+", " ", re.sub(r"[^\w\s|]", "", base)).strip()
 
 
